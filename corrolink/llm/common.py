@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -103,39 +102,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, remembered; forgotten once there are too many to hold."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-def hashes_of(words: list[str], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (multiply and xor-shift)."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
-def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words, from the words' hashes."""
-    if len(h) < n:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
-    for i in range(n):
-        out = mix(out + h[i : len(h) - n + 1 + i] + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1)))
-    return out
-
-
 def id_text(col: str | Column) -> Column:
     """An id as text; a null id counts as the empty text."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))

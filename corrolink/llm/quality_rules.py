@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, words
 
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOLS = "#*$%&|<>"
@@ -29,16 +29,16 @@ LINE_LIMIT = 50
 MIN_LEFT = 0.3
 
 
-def repeated_words(words: list[str], known: common.WordHashes, n: int = REPEAT_WINDOW) -> int:
-    """Words inside any window of n words that the text holds twice or more."""
-    if len(words) <= n:
+def repeated_words(hashes: np.ndarray, n: int = REPEAT_WINDOW) -> int:
+    """Words inside any window of n words that the text holds twice or more, from the hashes of its words."""
+    if len(hashes) <= n:
         return 0
-    h = common.ngram_hashes(common.hashes_of(words, known), n)
+    h = words.ngrams(hashes, n)
     _, place, counts = np.unique(h, return_inverse=True, return_counts=True)
     starts = np.flatnonzero(counts[place] > 1)
     if not len(starts):
         return 0
-    edge = np.zeros(len(words) + 1, dtype=np.int32)
+    edge = np.zeros(len(hashes) + 1, dtype=np.int32)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + n, -1)
     return int((np.cumsum(edge)[:-1] > 0).sum())
@@ -54,9 +54,12 @@ def duplicate_lines(text: str) -> int:
     return n
 
 
-def base_counts(text: str, known: common.WordHashes) -> tuple[int, int, int, int, int]:
-    words = WORD.findall(text)
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words, known)
+def base_counts(texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    return [
+        (len(h), len(t) - sum(map(t.count, " \t\n\x0b\x0c\r")), sum(map(t.count, SYMBOLS)), duplicate_lines(t), repeated_words(h))
+        for t, (h,) in zip(texts, words.by_text(texts), strict=True)
+    ]
 
 
 def content_key(host: str, text: str) -> Column:
@@ -100,10 +103,9 @@ def judge(docs: DataFrame, line_limit: int = LINE_LIMIT, min_left: float = MIN_L
     """The counts, the base verdict and the final verdict of every row."""
     common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    known = common.WordHashes()
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = [base_counts(t, known) for t in common.texts(batch, "t")]
+        rows = base_counts(common.texts(batch, "t"))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return {"doc_id": batch.column("id"), "content": batch.column("content")} | dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), map(list, cols), strict=True))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, pii, quality_rules, warc
+from . import chat, pii, quality, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op3_warc": warc.op3_warc,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_pii": pii.op6_pii,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_chat": chat.op9_chat,
