@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, pii, quality, quality_rules, toxicity, warc
+from . import chat, decontam, pii, quality, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op6_pii": pii.op6_pii,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_chat": chat.op9_chat,
+        "op10_decontam": decontam.op10_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.OP3_SQL, "op9_chat": chat.OP9_SQL}
+    return {"op3_warc": warc.OP3_SQL, "op9_chat": chat.OP9_SQL, "op10_decontam": decontam.OP10_SQL}
