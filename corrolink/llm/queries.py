@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, pii, quality, quality_rules, toxicity, warc
+from . import chat, decontam, pii, quality, quality_rules, sentencepiece_codec, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_warc": warc.op3_warc,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_pii": pii.op6_pii,
+        "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_chat": chat.op9_chat,
         "op10_decontam": decontam.op10_decontam,
