@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, pii, quality, quality_rules, sentencepiece_codec, toxicity, warc
+from . import chat, decontam, jaccard_join, pii, quality, quality_rules, sentencepiece_codec, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op3_warc": warc.op3_warc,
+        "op4_jaccard": jaccard_join.op4_jaccard,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_pii": pii.op6_pii,
         "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
