@@ -17,6 +17,8 @@ from pyspark.sql.types import _parse_datatype_string
 
 #: Rows of an Arrow batch; documents may be long, so a batch stays small.
 BATCH_ROWS = 512
+#: Tables of up to so many (narrow) rows may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if its counted rows are few enough; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this engine in the shared folder (call once results are stored)."""
     jvm, sc = spark._jvm, spark.sparkContext

@@ -28,8 +28,6 @@ N = 10
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END_MARK = "\x01"
-#: Tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def _split(text: Column) -> Column:
@@ -50,11 +48,6 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(common.id_text(doc_id), F.col(text))
 
 
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def windows(items: DataFrame, n: int = N) -> DataFrame:
     """(window, terms, item_ids): each different window once; window is a hash of its words."""
     cut = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).when(F.size("w") > 0, F.array("w"))
@@ -70,7 +63,7 @@ def windows(items: DataFrame, n: int = N) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each of the terms stands in all documents."""
     said = docs.select(F.explode(folded_words("text")).alias("term"))
-    return said.join(checked(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return said.join(common.checked(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rarest(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -90,13 +83,13 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     marked = F.array_append(folded_words("text"), F.lit(END_MARK))
     said = docs.select("doc_id", row_key("doc_id", "text").alias("key"), F.posexplode(marked).alias("at", "term"))
     wanted = terms.unionByName(docs.sparkSession.range(1).select(F.lit(END_MARK).alias("term")))
-    return said.join(checked(common.written(wanted, "terms")), "term")
+    return said.join(common.checked(common.written(wanted, "terms")), "term")
 
 
 def starts(postings: DataFrame, rare: DataFrame) -> DataFrame:
     """(key, window, start, length): where the lists of a window's two rarest terms meet, each shifted by its place."""
     said = postings.select("term", "key", "at")
-    first = said.withColumnRenamed("term", "t1").join(checked(rare), "t1").select("key", "window", "length", (F.col("at") - F.col("o1")).alias("start"), "t2", (F.col("at") - F.col("o1") + F.col("o2")).alias("at2")).where("start >= 0")
+    first = said.withColumnRenamed("term", "t1").join(common.checked(rare), "t1").select("key", "window", "length", (F.col("at") - F.col("o1")).alias("start"), "t2", (F.col("at") - F.col("o1") + F.col("o2")).alias("at2")).where("start >= 0")
     second = said.select(F.col("key"), F.col("term").alias("t2"), F.col("at").alias("at2")).distinct()
     columns = ["key", "window", "start", "length"]
     return first.where("t2 is null").select(*columns).unionByName(first.where("t2 is not null").join(second, ["key", "t2", "at2"], "left_semi").select(*columns)).distinct()
@@ -113,8 +106,8 @@ def phrases(docs: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFrame, D
     lengths = postings.where(is_end).select("key", "doc_id", F.col("at").cast("long").alias("n_words"))
     found = common.written(starts(postings.where(~is_end), rare), "starts")
     keys = common.written(found.select("key").distinct(), "keys")
-    texts = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").alias("t")).join(checked(keys), "key").dropDuplicates(["key"])
-    per_doc = found.join(checked(wins.select("window", "terms")), "window").groupBy("key").agg(F.collect_list(F.struct("window", "start", "length", "terms")).alias("c"))
+    texts = docs.select(row_key("doc_id", "text").alias("key"), F.col("text").alias("t")).join(common.checked(keys), "key").dropDuplicates(["key"])
+    per_doc = found.join(common.checked(wins.select("window", "terms")), "window").groupBy("key").agg(F.collect_list(F.struct("window", "start", "length", "terms")).alias("c"))
     held = F.filter("c", lambda c: F.slice(F.col("w"), c["start"] + 1, c["length"]) == c["terms"])
     hits = per_doc.join(texts, "key").select("key", exact_words("t").alias("w"), "c").select("key", F.explode(held).alias("h")).select("key", "h.window", "h.start", "h.length")
     return lengths, common.written(hits, "hits"), wins
@@ -128,7 +121,7 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, n: int = N) -> D
     wanted = rare.select(F.explode(F.array("t1", "t2")).alias("term")).distinct()
     postings = common.written(index(docs, wanted), "postings").where(F.col("term") != END_MARK)
     shift = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
-    first = postings.select(F.col("term").alias("t1"), "key", F.col("at").alias("at1")).join(checked(rare), "t1").withColumn("d", shift).withColumn("at2", F.col("at1") - F.col("o1") + F.col("o2") + F.col("d"))
+    first = postings.select(F.col("term").alias("t1"), "key", F.col("at").alias("at1")).join(common.checked(rare), "t1").withColumn("d", shift).withColumn("at2", F.col("at1") - F.col("o1") + F.col("o2") + F.col("d"))
     second = postings.select(F.col("term").alias("t2"), "key", F.col("at").alias("at2"))
     met = first.join(second, ["key", "t2", "at2"], "left_semi")
     return met.join(wins.select("window", F.explode("item_ids").alias("item_id")), "window").select("key", "item_id", "at1", "at2").distinct()
@@ -160,7 +153,7 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pipeline stage: documents that hold a window of an item go."""
     _, hits, _ = phrases(docs, common.table(spark, sf_dir, "benchmark"))
     bad = common.written(hits.select(F.col("key").alias("_key")).distinct(), "bad")
-    return docs.withColumn("_key", row_key("doc_id", "text")).join(checked(bad), "_key", "left_anti").select(*docs.columns)
+    return docs.withColumn("_key", row_key("doc_id", "text")).join(common.checked(bad), "_key", "left_anti").select(*docs.columns)
 
 
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

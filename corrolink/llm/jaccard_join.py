@@ -27,16 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, words
+from . import bloom, common, words
 from .components import components
 
 N = 3
 PERCENT = 90
 LOW = 0.25
-BLOOM_BITS = 1 << 26
+BLOOM_BITS = bloom.BITS
 ORDERS = 3
-#: Rows of a table that may be broadcast.
-BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(texts: list[str], n: int = N) -> list[np.ndarray]:
@@ -82,27 +80,14 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
 def shared_filter(sets: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
     """Bloom filter (its bytes) of the counted shingles that more than one class holds; its size is fixed."""
     held = sets.where("key is not null").select("key", F.explode("low").alias("token")).groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
-    places = F.explode(F.array(F.col("token").bitwiseAND(bits - 1), F.shiftright("token", 30).bitwiseAND(bits - 1)))
-    marked = held.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toArrow()
-    out = np.zeros(bits // 64, dtype=np.int64)
-    out[marked["w"].to_numpy()] = marked["m"].to_numpy()
-    return out
-
-
-def is_shared(tokens: np.ndarray, bloom: np.ndarray) -> np.ndarray:
-    """Whether the filter holds each token."""
-    bits = np.uint64(len(bloom) * 64)
-    held = np.ones(len(tokens), dtype=bool)
-    for p in (tokens & (bits - np.uint64(1)), (tokens >> np.uint64(30)) & (bits - np.uint64(1))):
-        held &= (bloom[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)).astype(np.int64)) & 1 == 1
-    return held
+    return bloom.build(held, "token", bits)
 
 
-def first_prefix(s: np.ndarray, bloom: np.ndarray, percent: int) -> np.ndarray:
+def first_prefix(s: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
     """The set's prefix under the first order: shingles not known to be shared, then the others, each by hash."""
     low = int(np.searchsorted(s, np.uint64(int(LOW * 2**64))))
     shared = np.zeros(len(s), dtype=bool)
-    shared[:low] = is_shared(s[:low], bloom)
+    shared[:low] = bloom.holds(seen, s[:low])
     return np.concatenate([s[~shared], s[shared]])[: prefix_length(len(s), percent)]
 
 
@@ -113,10 +98,10 @@ def further_prefix(s: np.ndarray, order: int, percent: int) -> np.ndarray:
     return s[np.argpartition(h, k - 1)[:k]] if k < len(s) else s
 
 
-def postings(docs: DataFrame, bloom: np.ndarray, percent: int = PERCENT, n: int = N) -> DataFrame:
+def postings(docs: DataFrame, seen: np.ndarray, percent: int = PERCENT, n: int = N) -> DataFrame:
     """(token, key, size, place): the first-order prefix of every set that can have a partner other than itself."""
     common.small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(bloom)  # BLOOM_BITS, whatever the data
+    held = docs.sparkSession.sparkContext.broadcast(seen)  # BLOOM_BITS, whatever the data
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [s for s in shingle_sets(common.texts(batch, "t"), n) if len(s) and least_overlap(len(s) + 1, percent) <= len(s)]
@@ -147,7 +132,7 @@ def _side(df: DataFrame, name: str) -> DataFrame:
 def candidate_sets(docs: DataFrame, ids: DataFrame, keys: DataFrame, percent: int, n: int) -> DataFrame:
     """(key, size, tokens, p2, p3, ...) of the wanted classes, each from the one row that stands for it."""
     common.small_batches(docs.sparkSession)
-    wanted = docs.select("doc_id", F.col("text").alias("t")).join(_checked(ids), "doc_id", "left_semi")
+    wanted = docs.select("doc_id", F.col("text").alias("t")).join(common.checked(ids), "doc_id", "left_semi")
     further = [f"p{o}" for o in range(2, ORDERS + 1)]
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -156,11 +141,7 @@ def candidate_sets(docs: DataFrame, ids: DataFrame, keys: DataFrame, percent: in
         return {"key": [set_key(s) for s in sets], "size": [len(s) for s in sets], "tokens": common.list_array([_signed(s) for s in sets], pa.int64())} | fronts
 
     sets = common.mapped(wanted, run, "key bigint, size bigint, tokens array<bigint>, " + ", ".join(f"{p} array<bigint>" for p in further))
-    return common.written(sets.join(_checked(keys), "key", "left_semi").dropDuplicates(["key"]), "sets")
-
-
-def _checked(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return common.written(sets.join(common.checked(keys), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -180,8 +161,7 @@ def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT,
 
     members: (doc_id, key, size, low) as `classes` gives it.
     """
-    bloom = shared_filter(members)
-    lists = common.written(postings(docs, bloom, percent, n), "postings")
+    lists = common.written(postings(docs, shared_filter(members), percent, n), "postings")
     leaders = (
         lists.groupBy("token")
         .agg(F.min(F.struct("place", "key", "size")).alias("lead"), F.min("key").alias("lo"), F.max("key").alias("hi"))
@@ -192,7 +172,7 @@ def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT,
     named = shared.withColumnsRenamed({c: f"m_{c}" for c in ("key", "size", "place")})
     star = common.written(named.where("l_key <> m_key").where(can_link("l", "m", percent)).select(F.least("l_key", "m_key").alias("a"), F.greatest("l_key", "m_key").alias("b")).distinct(), "star")
     keys = common.written(shared.select("key").distinct(), "keys")
-    stand = common.written(members.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(_checked(keys), "key", "left_semi").select("doc_id").distinct(), "stand")
+    stand = common.written(members.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(common.checked(keys), "key", "left_semi").select("doc_id").distinct(), "stand")
     sets = candidate_sets(docs, stand, keys, percent, n)
     links = common.written(verified(star, sets, percent), "links")
     known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, jaccard_join, pii, quality, quality_rules, sentencepiece_codec, toxicity, warc
+from . import chat, decontam, jaccard_join, pii, quality, quality_rules, sentencepiece_codec, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_warc": warc.op3_warc,
         "op4_jaccard": jaccard_join.op4_jaccard,
         "op5_toxicity": toxicity.op5_toxicity,
