@@ -5,8 +5,10 @@ puts shingles that only one class holds before those that are shared; a linked p
 prefixes of that order, at places that leave room for the overlap it needs. A pair that meets must also
 share prefix tokens under two further orders before its sets are held against each other.
 
-Which shingles are shared is counted exactly for the lowest LOW of their hashes and kept as a Bloom
-filter of BLOOM_BITS bits. Any order gives right results, so a full filter costs time alone.
+Which shingles are shared is counted exactly over one document of each class: tasks send sorted,
+packed hashes to ranges of the hash space, each range is sorted and its repeated hashes are marked in a
+bitmap of BITMAP_BITS bits, addressed by the hashes' upper bits. Any order gives right results, so a
+full bitmap costs time alone.
 
 Pairs are not listed within groups of near copies: in each prefix list the member with the most room
 leads, all others are held against it, and the linked ones become a component. Then only pairs of
@@ -21,20 +23,24 @@ looked at. Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom, common, words
+from . import common, words
 from .components import components
 
 N = 3
 PERCENT = 90
-LOW = 0.25
-BLOOM_BITS = bloom.BITS
 ORDERS = 3
+BITMAP_BITS = 28
+#: Shingles that one range of the hash space has about.
+RANGE_SHINGLES = 2_000_000
 
 
 def shingle_sets(texts: list[str], n: int = N) -> list[np.ndarray]:
@@ -65,30 +71,96 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, key, size, low): each row's class, and its shingles in the lowest LOW of the hashes."""
+    """(doc_id, key, size): each row's class and the number of its shingles."""
     common.small_batches(docs.sparkSession)
-    below = np.uint64(int(LOW * 2**64))
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(common.texts(batch, "t"), n)
-        low = [_signed(s[: np.searchsorted(s, below)]) for s in sets]
-        return {"doc_id": batch.column("id"), "key": [set_key(s) for s in sets], "size": [len(s) for s in sets], "low": common.list_array(low, pa.int64())}
+        return {"doc_id": batch.column("id"), "key": [set_key(s) for s in sets], "size": [len(s) for s in sets]}
+
+    return common.mapped(docs.selectExpr("doc_id as id", "text as t"), run, "doc_id bigint, key bigint, size bigint")
+
 
-    return common.mapped(docs.selectExpr("doc_id as id", "text as t"), run, "doc_id bigint, key bigint, size bigint, low array<bigint>")
+def _pack(h: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as the compressed byte planes of their differences."""
+    return zlib.compress(np.diff(h, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def shared_filter(sets: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bloom filter (its bytes) of the counted shingles that more than one class holds; its size is fixed."""
-    held = sets.where("key is not null").select("key", F.explode("low").alias("token")).groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
-    return bloom.build(held, "token", bits)
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def first_prefix(s: np.ndarray, seen: np.ndarray, percent: int) -> np.ndarray:
-    """The set's prefix under the first order: shingles not known to be shared, then the others, each by hash."""
-    low = int(np.searchsorted(s, np.uint64(int(LOW * 2**64))))
-    shared = np.zeros(len(s), dtype=bool)
-    shared[:low] = bloom.holds(seen, s[:low])
-    return np.concatenate([s[~shared], s[shared]])[: prefix_length(len(s), percent)]
+def shared_bitmap(docs: DataFrame, members: DataFrame, n: int = N) -> np.ndarray:
+    """Bitmap of the shingles that more than one class holds; 2^BITMAP_BITS bits, whatever the data."""
+    common.small_batches(docs.sparkSession)
+    first = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = common.written(members.join(first, "key").where("doc_id > first").select("doc_id").distinct(), "again")
+    single = docs.join(common.checked(again), "doc_id", "left_anti")
+    total = members.agg(F.sum("size")).first()[0] or 0
+    bits = min(BITMAP_BITS - 6, max(6, int(total / RANGE_SHINGLES).bit_length()))  # of the number of ranges
+    arrow = common.arrow_schema("r int, h binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            of = (h >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.searchsorted(of, np.arange((1 << bits) + 1))
+            low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            rows = [(r, _pack(low[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], type=t) for k, t in enumerate(arrow.types)], schema=arrow)
+
+        for batch in batches:
+            held += shingle_sets(common.texts(batch, "t"), n)
+            if sum(map(len, held)) > 2 * RANGE_SHINGLES:
+                yield flush()
+                held.clear()
+        if sum(map(len, held)):
+            yield flush()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            h = np.sort(np.concatenate(held))
+            twice = h[1:][h[1:] == h[:-1]]
+            slots = np.zeros(1 << (BITMAP_BITS - bits), dtype=bool)
+            slots[twice >> np.uint32(32 - (BITMAP_BITS - bits))] = True
+            return pa.RecordBatch.from_arrays([pa.array([last], type=arrow.types[0]), pa.array([np.packbits(slots, bitorder="little").tobytes()], type=arrow.types[1])], schema=arrow)
+
+        for batch in batches:
+            for r, data in zip(batch.column("r").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                if r != last and held:
+                    yield flush()
+                    held = []
+                last = r
+                held.append(_unpack(data))
+        if held:
+            yield flush()
+
+    packed = single.selectExpr("text as t").mapInArrow(pack, "r int, h binary")
+    marked = packed.repartition("r").sortWithinPartitions("r").mapInArrow(mark, "r int, h binary").toArrow()
+    out = np.zeros((1 << bits, 1 << (BITMAP_BITS - bits - 3)), dtype=np.uint8)
+    for r, data in zip(marked["r"].to_pylist(), marked["h"], strict=True):
+        out[r] = np.frombuffer(data.as_buffer(), dtype=np.uint8)
+    return out.ravel()
+
+
+def is_shared(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = (tokens >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def first_prefix(s: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The shared shingles in the set's prefix under the first order, and the place of the first of them.
+
+    The order puts shingles that no other class holds before shared ones, each by hash; the former meet nothing.
+    """
+    shared = is_shared(s, seen)
+    alone = int((~shared).sum())
+    return s[shared][: max(0, prefix_length(len(s), percent) - alone)], alone
 
 
 def further_prefix(s: np.ndarray, order: int, percent: int) -> np.ndarray:
@@ -99,20 +171,20 @@ def further_prefix(s: np.ndarray, order: int, percent: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, seen: np.ndarray, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """(token, key, size, place): the first-order prefix of every set that can have a partner other than itself."""
+    """(token, key, size, place): the shared shingles in the first-order prefix of every set that can have a partner."""
     common.small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(seen)  # BLOOM_BITS, whatever the data
+    held = docs.sparkSession.sparkContext.broadcast(seen)  # 2^BITMAP_BITS bits, whatever the data
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [s for s in shingle_sets(common.texts(batch, "t"), n) if len(s) and least_overlap(len(s) + 1, percent) <= len(s)]
         fronts = [first_prefix(s, held.value, percent) for s in sets]
-        lens = [len(f) for f in fronts]
+        lens = [len(f) for f, _ in fronts]
         each = lambda xs: np.repeat(np.array(xs, dtype=np.int64), lens)
         return {
-            "token": _signed(np.concatenate(fronts)) if fronts else [],
+            "token": _signed(np.concatenate([f for f, _ in fronts])) if fronts else [],
             "key": each([set_key(s) for s in sets]),
             "size": each([len(s) for s in sets]).astype(np.int32),
-            "place": np.concatenate([np.arange(k) for k in lens]).astype(np.int32) if lens else [],
+            "place": np.concatenate([at + np.arange(len(f)) for f, at in fronts]).astype(np.int32) if fronts else [],
         }
 
     return common.mapped(docs.selectExpr("text as t"), run, "token bigint, key bigint, size int, place int")
@@ -159,9 +231,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """(key, component): for every class that is linked with another, the name of its component.
 
-    members: (doc_id, key, size, low) as `classes` gives it.
+    members: (doc_id, key, size) as `classes` gives it.
     """
-    lists = common.written(postings(docs, shared_filter(members), percent, n), "postings")
+    lists = common.written(postings(docs, shared_bitmap(docs, members, n), percent, n), "postings")
     leaders = (
         lists.groupBy("token")
         .agg(F.min(F.struct("place", "key", "size")).alias("lead"), F.min("key").alias("lo"), F.max("key").alias("hi"))
