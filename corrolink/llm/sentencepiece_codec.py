@@ -34,7 +34,7 @@ N_BEST = 3
 #: Stands for a blank mark that a text itself holds; no chunk is so long and unknown.
 OWN_MARK = "\0" + MARK
 #: Chunks remembered by a worker; then it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 700_000
 
 
 #: Chunks of up to so many characters are searched together with others of their length.
@@ -118,6 +118,12 @@ class Codec:
         self.sorted_scores = np.array([vocabulary.scores[i] for _, i in own])
         self.bitmap = np.zeros(1 << 22, dtype=bool)
         self.bitmap[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+        self.begins = np.zeros(1 << 22, dtype=bool)
+        for piece in vocabulary.pieces:
+            h = 0
+            for ch in piece:
+                h = (h + ord(ch) + 1) * int(_P) & (2**64 - 1)
+                self.begins[h >> 42] = True
         self.longest = max(map(len, vocabulary.pieces))
         self.chunks: dict[str, Found] = {}
 
@@ -222,11 +228,16 @@ class Codec:
         start, piece = np.zeros((n + 1, m), dtype=np.int16), np.zeros((n + 1, m), dtype=np.int32)
         found: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
         for i in range(n):
-            h = np.zeros(m, dtype=np.uint64)
+            live, h = np.flatnonzero(best[i] > -np.inf), np.zeros(1, dtype=np.uint64)
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                h = (h + codes[:, j - 1]) * _P
-                rows, at = self._lookup(h)
-                if len(rows):
+                h = (h + codes[live, j - 1]) * _P
+                begins = self.begins[(h >> np.uint64(42)).astype(np.int64)]
+                live, h = live[begins], h[begins]  # only what begins a piece can become one
+                if not len(live):
+                    break
+                own, at = self._lookup(h)
+                if len(own):
+                    rows = live[own]
                     score = self.sorted_scores[at]
                     total = best[i, rows] + score
                     better = total > best[j, rows]
