@@ -26,6 +26,11 @@ ARABIC_LABELS = (
 )
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value), where value is computed once however often fn names it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def normalize_digits(c: Column) -> Column:
     """Arabic-Indic digits of both systems as ASCII digits."""
     return F.translate(c, ARABIC_INDIC + EASTERN_INDIC, ASCII_DIGITS * 2)

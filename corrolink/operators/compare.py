@@ -59,19 +59,22 @@ def age(a: Column, b: Column, p: Policy, both_exact: Column | None = None) -> Co
 
 def date(a: Column, b: Column, p: Policy) -> Column:
     """Partial dates agree as far as both go; a part that differs blocks."""
-    x, y = text.date_parts(a), text.date_parts(b)
+    parts = F.struct(text.date_parts(a).alias("x"), text.date_parts(b).alias("y"))
+    return with_missing(a, b, p, text.let(parts, lambda t: _date(t["x"], t["y"], p)))
+
+
+def _date(x: Column, y: Column, p: Policy) -> Column:
     block = lambda part: result("strong_conflict", f"date_{part}_conflict", 0, p, True)
     have = lambda part: x[part].isNotNull() & y[part].isNotNull()
-    return with_missing(
-        a, b, p,
+    return (
         F.when(~have("y"), result("insufficient", "date_unparsable", 0, p))
         .when(x["y"] != y["y"], block("year"))
         .when(have("m") & (x["m"] != y["m"]), block("month"))
         .when(have("m") & have("d") & (x["d"] != y["d"]), block("day"))
         .when(have("m") & have("d"), result("exact_match", "date_exact", 1, p))
         .when(have("m"), result("normalized_match", "date_year_month", 0.8, p))
-        .otherwise(result("compatible", "date_year_only", 0.3, p)),
-    )
+        .otherwise(result("compatible", "date_year_only", 0.3, p))
+    )
 
 
 # Class and share of weight of each phone outcome.

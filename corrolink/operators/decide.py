@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy
+from ..functions.text import let
 from .compare import total_score
 
 SUPPORT = ("exact_match", "normalized_match")
@@ -29,8 +30,12 @@ def decision(comparisons: Column, link: Column | float = policy.LINK_SCORE, revi
     Blocking conflicts; a unique identifier that agrees; several strong conflicts without support; only
     weak evidence; enough score over enough categories; else human review.
     """
+    given = F.struct(comparisons.alias("c"), total_score(comparisons).alias("score"), categories(comparisons).alias("cats"))
+    return let(given, lambda g: _decision(g["c"], g["score"], g["cats"], link, review))
+
+
+def _decision(comparisons: Column, score: Column, cats: Column, link: Column | float, review: Column | float) -> Column:
     any_ = lambda f: F.exists(comparisons, f)
-    score, cats = total_score(comparisons), categories(comparisons)
     blocking = any_(lambda c: c["blocks"])
     blocks_on = lambda f: any_(lambda c: c["blocks"] & f(c))
     block_codes = F.array_compact(F.array(
@@ -88,9 +93,9 @@ def explanation(d: Column) -> Column:
 
 
 def majority(votes: DataFrame, key: str, vote: str, order: str) -> DataFrame:
-    """(key, winner, unanimous): the vote that most cast; of equal ones the one cast first."""
+    """(key, winner, unanimous): the vote that most cast; of equal ones the one cast first, then the lesser."""
     counted = votes.groupBy(key, vote).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    return counted.groupBy(key).agg(F.max_by(vote, F.struct(F.col("n"), -F.col("first"))).alias("winner"), (F.count(F.lit(1)) == 1).alias("unanimous"))
+    return counted.groupBy(key).agg(F.min_by(vote, F.struct(-F.col("n"), F.col("first"), F.col(vote))).alias("winner"), (F.count(F.lit(1)) == 1).alias("unanimous"))
 
 
 def rival_downgrade(ranked: DataFrame, gap: float = 0.20) -> DataFrame:

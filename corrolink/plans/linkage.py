@@ -308,7 +308,7 @@ def adjudication_floor(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT l_orderkey, l_returnflag, count(*) AS n, min(l_linenumber) AS f FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, arg_max(l_returnflag, n * 1000 - f) AS winner, count(*) = 1 AS unanimous FROM v GROUP BY l_orderkey"""
+SELECT l_orderkey, first(l_returnflag ORDER BY n DESC, f, l_returnflag) AS winner, count(*) = 1 AS unanimous FROM v GROUP BY l_orderkey"""
 )
 def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return decide.majority(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber")
