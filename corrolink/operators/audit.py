@@ -32,7 +32,7 @@ def chained(events: DataFrame, run: str, order: list[str], payload: str) -> Data
 
 
 def verified(chain: DataFrame) -> DataFrame:
-    """Per run: status (verified, incomplete, broken), the first bad number, how many events hold before it, missing and doubled numbers."""
+    """Per run: status (verified, incomplete, broken), the first bad number (0 if none), how many events hold before it, missing and doubled numbers."""
     w = Window.partitionBy("run").orderBy("sequence", "event_hash")
     seen = chain.withColumn("before", F.coalesce(F.lag("event_hash").over(w), F.lit(GENESIS))).withColumn("bad", (F.col("previous_hash") != F.col("before")) | (F.col("event_hash") != link(F.col("run"), F.col("sequence"), F.col("payload"), F.col("previous_hash"))))
     per = chain.groupBy("run", "sequence").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.max("sequence").alias("top"), F.collect_set("sequence").alias("have"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("sequence")))).alias("doubled"))
@@ -44,7 +44,7 @@ def verified(chain: DataFrame) -> DataFrame:
     return joined.select(
         "run",
         F.when(holes, "incomplete").when(F.col("first_bad").isNotNull(), "broken").otherwise("verified").alias("status"),
-        F.when(holes, first_hole).otherwise(F.col("first_bad")).alias("first_invalid"),
+        F.when(holes, first_hole).otherwise(F.coalesce("first_bad", F.lit(0))).alias("first_invalid"),
         F.when(holes, first_hole - 1).when(F.col("first_bad").isNotNull(), F.col("first_bad") - 1).otherwise(F.col("events")).cast("long").alias("verified_events"),
         F.array_join("missing", ",").alias("missing"),
         F.array_join("doubled", ",").alias("doubled"),

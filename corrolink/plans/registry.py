@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import linkage
+from . import evidence, linkage
 
-PARTS = (linkage,)
+PARTS = (linkage, evidence)
 
 
 def queries() -> dict:
