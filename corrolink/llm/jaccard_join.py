@@ -13,7 +13,8 @@ full bitmap costs time alone.
 Pairs are not listed within groups of near copies: in each prefix list the member with the most room
 leads, all others are held against it, and the linked ones become a component. Then only pairs of
 different components that meet in a list are held against each other, the members outside of a list's
-largest component against all. So no link between components is lost.
+largest component against all. So no link between components is lost. Before sets are looked at, a pair
+must pass by size, by place, and by a signature of the shingles that its sets share with others.
 
 Cases at the edge: a null text, or one without words, has no shingles and is linked with nothing; fewer
 words than a shingle are one shingle; repeated rows are in one class; a null doc_id is never the
@@ -153,14 +154,20 @@ def is_shared(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def first_prefix(s: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The shared shingles in the set's prefix under the first order, and the place of the first of them.
+def first_prefix(s: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """The shared shingles in the set's prefix under the first order, the place of the first of them, and a signature.
 
     The order puts shingles that no other class holds before shared ones, each by hash; the former meet nothing.
+    The signature has two bits for each of 64 parts of the shared shingles: a sum of their hashes in that part.
     """
     shared = is_shared(s, seen)
-    alone = int((~shared).sum())
-    return s[shared][: max(0, prefix_length(len(s), percent) - alone)], alone
+    own = s[shared]
+    alone = len(s) - len(own)
+    part, bits = (own & np.uint64(63)).astype(np.int64), (own >> np.uint64(6)) & np.uint64(3)
+    sums = np.zeros(64, dtype=np.uint64)
+    np.bitwise_xor.at(sums, part, bits)
+    signature = np.bitwise_or.reduce(sums.reshape(2, 32) << (np.uint64(2) * np.arange(32, dtype=np.uint64)), axis=1)
+    return own[: max(0, prefix_length(len(s), percent) - alone)], alone, signature
 
 
 def further_prefix(s: np.ndarray, order: int, percent: int) -> np.ndarray:
@@ -171,30 +178,45 @@ def further_prefix(s: np.ndarray, order: int, percent: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, seen: np.ndarray, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """(token, key, size, place): the shared shingles in the first-order prefix of every set that can have a partner."""
+    """(token, key, size, place, alone, s1, s2): the shared shingles in the first-order prefix of every set that can have a partner."""
     common.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(seen)  # 2^BITMAP_BITS bits, whatever the data
+    nothing = np.zeros(0, dtype=np.int64)
 
     def run(batch: pa.RecordBatch) -> dict:
-        sets = [s for s in shingle_sets(common.texts(batch, "t"), n) if len(s) and least_overlap(len(s) + 1, percent) <= len(s)]
-        fronts = [first_prefix(s, held.value, percent) for s in sets]
-        lens = [len(f) for f, _ in fronts]
-        each = lambda xs: np.repeat(np.array(xs, dtype=np.int64), lens)
-        return {
-            "token": _signed(np.concatenate([f for f, _ in fronts])) if fronts else [],
-            "key": each([set_key(s) for s in sets]),
-            "size": each([len(s) for s in sets]).astype(np.int32),
-            "place": np.concatenate([at + np.arange(len(f)) for f, at in fronts]).astype(np.int32) if fronts else [],
-        }
-
-    return common.mapped(docs.selectExpr("text as t"), run, "token bigint, key bigint, size int, place int")
+        cols: dict[str, list[np.ndarray]] = {c: [nothing] for c in ("token", "key", "size", "place", "alone", "s1", "s2")}
+        for s in shingle_sets(common.texts(batch, "t"), n):
+            if not len(s) or least_overlap(len(s) + 1, percent) > len(s):
+                continue
+            front, alone, signature = first_prefix(s, held.value, percent)
+            if len(front):
+                s1, s2 = _signed(signature)
+                for c, v in (("key", set_key(s)), ("size", len(s)), ("alone", alone), ("s1", s1), ("s2", s2)):
+                    cols[c].append(np.full(len(front), v, dtype=np.int64))
+                cols["token"].append(_signed(front))
+                cols["place"].append(alone + np.arange(len(front)))
+        return {c: np.concatenate(v) for c, v in cols.items()}
+
+    return common.mapped(docs.selectExpr("text as t"), run, "token bigint, key bigint, size bigint, place bigint, alone bigint, s1 bigint, s2 bigint")
 
 
 def can_link(a: str, b: str, percent: int = PERCENT) -> Column:
-    """Size and place filter: whether two members of a prefix list have room for the overlap that a link needs."""
-    c = lambda side, x: F.col(f"{side}_{x}").cast("long")
+    """Whether two members of a prefix list may be linked, by size, place and signature.
+
+    A link needs so much overlap; what either holds alone is not in it, so the shared shingles of the two
+    differ in at most D places, and so do their signatures' parts.
+    """
+    c = lambda side, x: F.col(f"{side}_{x}")
+    sizes = c(a, "size") + c(b, "size")
+    need = F.ceil(F.lit(percent) * sizes / (100 + percent) - 1e-9)
     room = F.least(c(a, "size") - c(a, "place"), c(b, "size") - c(b, "place"))
-    return (100 * F.least(c(a, "size"), c(b, "size")) >= percent * F.greatest(c(a, "size"), c(b, "size"))) & ((100 + percent) * room >= percent * (c(a, "size") + c(b, "size")))
+    may_differ = sizes - c(a, "alone") - c(b, "alone") - 2 * need
+
+    def differing(x: str) -> Column:
+        both = c(a, x).bitwiseXOR(c(b, x))
+        return F.bit_count(both.bitwiseOR(F.shiftrightunsigned(both, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return (100 * F.least(c(a, "size"), c(b, "size")) >= percent * F.greatest(c(a, "size"), c(b, "size"))) & (room >= need) & (differing("s1") + differing("s2") <= may_differ)
 
 
 def _side(df: DataFrame, name: str) -> DataFrame:
@@ -234,14 +256,15 @@ def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT,
     members: (doc_id, key, size) as `classes` gives it.
     """
     lists = common.written(postings(docs, shared_bitmap(docs, members, n), percent, n), "postings")
+    about = ["key", "size", "place", "alone", "s1", "s2"]
     leaders = (
         lists.groupBy("token")
-        .agg(F.min(F.struct("place", "key", "size")).alias("lead"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        .agg(F.min(F.struct("place", "key", "size", "alone", "s1", "s2")).alias("lead"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         .where("lo <> hi")
-        .select("token", F.col("lead.key").alias("l_key"), F.col("lead.size").alias("l_size"), F.col("lead.place").alias("l_place"))
+        .select("token", *[F.col(f"lead.{c}").alias(f"l_{c}") for c in about])
     )
     shared = common.written(lists.join(leaders, "token").distinct(), "shared")
-    named = shared.withColumnsRenamed({c: f"m_{c}" for c in ("key", "size", "place")})
+    named = shared.withColumnsRenamed({c: f"m_{c}" for c in about})
     star = common.written(named.where("l_key <> m_key").where(can_link("l", "m", percent)).select(F.least("l_key", "m_key").alias("a"), F.greatest("l_key", "m_key").alias("b")).distinct(), "star")
     keys = common.written(shared.select("key").distinct(), "keys")
     stand = common.written(members.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(common.checked(keys), "key", "left_semi").select("doc_id").distinct(), "stand")
@@ -249,7 +272,7 @@ def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT,
     links = common.written(verified(star, sets, percent), "links")
     known = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # members of one list that are in different components so far
-    placed = shared.select("token", "key", "size", "place").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = shared.select("token", *about).join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     placed = common.written(placed, "placed")
     largest = (
         placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
