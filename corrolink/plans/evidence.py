@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing_view, policy, text
-from ..operators import audit, contracts, evaluate, extract
+from ..operators import audit, contracts, evaluate, extract, synth
 from ..sources import stores
 from .tables import table
 
@@ -426,3 +426,43 @@ def repeated_ids(spark: SparkSession, d: str) -> DataFrame:
 def pending_work(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"))
     return stores.pending(table(spark, d, "documents").select("doc_id", "source"), done, "doc_id")
+
+
+# ---- synthetic cases and counterfactuals
+
+
+@query()
+def synthetic_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Generated records, as many identities as there are suppliers."""
+    return synth.generated(spark, table(spark, d, "supplier").count(), 3, 41027)
+
+
+@query()
+def mutations(spark: SparkSession, d: str) -> DataFrame:
+    return synth.mutated(synthetic_dataset(spark, d).drop("tags"), list(synth.MUTATIONS))
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS first_node FROM events WHERE event_id % 3 <> user_id % 3 GROUP BY user_id")
+def first_divergence(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("node"), (F.col("event_id") % 3).alias("output"), (F.col("user_id") % 3).alias("expected"))
+    return synth.first_divergence(e, "user_id", "event_id")
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS scope, min(l_partkey) AS a, max(l_partkey) AS b, CASE WHEN l_orderkey % 2 = 0 THEN 'link_recommended' ELSE 'human_review_required' END AS before FROM lineitem GROUP BY l_orderkey HAVING min(l_partkey) < max(l_partkey))
+SELECT scope, a, b, before, CASE WHEN scope % 5 = 0 THEN 'insufficient_evidence' ELSE before END AS after, scope % 5 <> 0 AS same_pair FROM s WHERE scope % 5 <> 1"""
+)
+def counterfactual_compare(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scope")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a < b and scope % 5 <> 1")
+    s = s.withColumn("state", F.when(F.col("scope") % 2 == 0, "link_recommended").otherwise("human_review_required"))
+    gone = F.col("scope") % 5 == 0
+    changed = s.select("scope", F.col("b").alias("a"), F.when(gone, F.col("a") - 1000000).otherwise(F.col("a")).alias("b"), F.when(gone, "insufficient_evidence").otherwise(F.col("state")).alias("state"), F.lit(1).alias("rank"))
+    return synth.comparable(s, changed)
+
+
+@query()
+def fuzzy_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Per brand and size the two part names most alike (ratios by the Arrow function)."""
+    p = table(spark, d, "part").select(F.concat_ws("|", "p_brand", "p_size").alias("scope"), "p_partkey", "p_name")
+    side = lambda s: p.select("scope", F.col("p_partkey").alias(s), F.col("p_name").alias(f"text_{s}"))
+    return synth.fuzzy_baseline(side("a").join(side("b"), "scope").where("a < b"), "scope")
