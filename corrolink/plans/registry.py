@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, linkage
+from . import evidence, linkage, records
 
-PARTS = (linkage, evidence)
+PARTS = (linkage, evidence, records)
 
 
 def queries() -> dict:
