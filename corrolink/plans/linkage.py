@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, phone, policy, text
@@ -23,12 +23,13 @@ def query(sql: str | None = None):
     return add
 
 
-JOINED = F.array_join("rules", ",").alias("rules")
+def joined_rules() -> Column:
+    return F.array_join("rules", ",").alias("rules")
 
 
 @query(f"WITH {EMITTED_SQL} SELECT scope, a, b, array_to_string(rules, ',') AS rules FROM p")
 def blocking_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.pairs(blocking.emissions(customer_keys(spark, d))).select("scope", "a", "b", JOINED)
+    return blocking.pairs(blocking.emissions(customer_keys(spark, d))).select("scope", "a", "b", joined_rules())
 
 
 @query(
@@ -52,7 +53,7 @@ def _capped(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EMITTED_SQL}, {_CAPPED_SQL} SELECT scope, a, b, array_to_string(rules, ',') AS rules, mandatory, rank FROM cr")
 def block_cap_mandatory(spark: SparkSession, d: str) -> DataFrame:
-    return _capped(spark, d).select("scope", "a", "b", JOINED, "mandatory", "rank")
+    return _capped(spark, d).select("scope", "a", "b", joined_rules(), "mandatory", "rank")
 
 
 @query(
