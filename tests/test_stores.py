@@ -64,3 +64,23 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.record_id, r.n_instructions) for r in spark.table("arrived").collect()) == [("R", 1), ("S", 0)]
+
+
+def test_all_rules_give_keys(spark):
+    from corrolink.functions import phone
+
+    rows = [
+        (1, 1, "Yusuf Hasan", "35", "North Gate", "Amal Rafiq", "AB-1", "a@b.cd", "+44 20 7946 0018"),
+        (1, 2, "yusef hassan", "36", "north gate", "amal x", "AB-1", "A@b.cd.", "0044 20 7946 0018"),
+        (1, 3, None, None, "", None, None, "nothing", "20 7946OO18"),
+        (1, 4, "Omar", "70", None, None, None, None, "+1 20 7946 0018"),
+    ]
+    df = spark.createDataFrame(rows, "s int, r int, name string, age string, place string, family string, gov string, email string, tel string")
+    df = df.withColumn("mended", phone.ocr_repair("tel")).withColumn("p", phone.parse(F.col("tel"))).withColumn("o", phone.parse(F.col("mended")))
+    keys = blocking.rules(*[F.col(c) for c in ("name", "age", "place", "family", "gov", "email")], F.col("p"), F.col("o"), F.col("mended") != F.col("tel"))
+    carried = [(F.col("p.prefix") != "none").alias("is_intl"), F.col("p.digits").alias("digits")]
+    table = blocking.key_table(df, keys, "s", "r", carried)
+    found = {(r.a, r.b): r.rules for r in blocking.pairs(blocking.emissions(table, blocking.intl_pair_ok())).collect()}
+    assert set(found[(1, 2)]) == {"phone_full_exact", "phone_local_international_compatible", "phone_suffix", "email_exact", "government_id", "name_phonetic_plus_age", "name_transliteration_skeleton", "family_member_plus_location"}
+    assert "phone_suffix" in found[(1, 3)] and "phone_full_exact" not in found[(1, 3)]
+    assert found.get((1, 4), []) == ["phone_suffix"]  # equal national digits, but another country
