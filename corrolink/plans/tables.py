@@ -56,12 +56,13 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def compared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scope, a, b, comparisons): pairs of one customer's orders of neighbouring keys, compared field by field in policy order."""
+def compared_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(scope, a, b, comparisons): all pairs of one customer's orders, compared field by field in policy order; unless whole, only pairs in one block of 400 keys, as COMPARED_SQL has it."""
     fields = ["date_of_birth", "age", "government_id", "language", "last_known_location"]
     r = order_records(spark, sf_dir).withColumn("block", F.floor(F.col("record") / 400))
     side = lambda s: r.select("scope", "block", F.col("record").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in fields])
-    met = side("a").join(side("b"), ["scope", "block"]).where("a < b")
+    met = side("a").join(side("b").drop("block"), "scope") if whole else side("a").join(side("b"), ["scope", "block"])
+    met = met.where("a < b")
     ab = lambda f: (F.col(f"a_{f}"), F.col(f"b_{f}"), POLICY[f])
     outcomes = {
         "date_of_birth": compare.date(*ab("date_of_birth")),
@@ -74,11 +75,13 @@ def compared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("scope", "a", "b", *[F.col(f"{s}_{f}") for s in "ab" for f in fields], cells.alias("comparisons"))
 
 
-def decided_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = compared_orders(spark, sf_dir).select("scope", "a", "b", decide.decision(F.col("comparisons")).alias("d"))
+def decided_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    d = compared_orders(spark, sf_dir, whole).select("scope", "a", "b", decide.decision(F.col("comparisons")).alias("d"))
     return d.select("scope", "a", "b", F.col("d.state").alias("state"), F.array_join("d.reasons", ",").alias("reasons"), F.col("d.score").alias("score"))
 
 
+#: What keeps COMPARED_SQL to id blocks.
+ORDER_BLOCK = " AND x.block = y.block"
 #: One row for a pair with class, score and block of every field.
 COMPARED_SQL = r"""
 o AS (SELECT o_custkey AS scope, o_orderkey AS record, o_orderkey // 400 AS block,
