@@ -1,5 +1,8 @@
 """Queries over whole scopes: no pair or event may be left out for the number of its id."""
 
+import hashlib
+from collections import defaultdict
+
 from corrolink.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -21,3 +24,30 @@ def test_orders_of_one_government_id_meet_over_any_distance(spark, sf_dir, duck)
     far = duck.execute("select count(*) from orders x join orders y on x.o_custkey = y.o_custkey and x.o_orderkey < y.o_orderkey and x.o_orderkey // 400 < y.o_orderkey // 400 where x.o_orderkey % 11 = 0 and y.o_orderkey % 11 = 0").fetchone()[0]
     got = QUERIES["exact_id_compare_whole"](spark, sf_dir).where("a % 11 = 0 and b % 11 = 0 and floor(a / 400) < floor(b / 400) and class = 'exact_match'").count()
     assert got == far > 0
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_chain_of_all_events(spark, sf_dir, duck):
+    runs = defaultdict(list)
+    for run, kind in duck.execute("select user_id, event_type from events order by user_id, ts, event_id").fetchall():
+        runs[run].append(kind)
+    built, checked = set(), {}
+    for run, kinds in runs.items():
+        last, chain = "0" * 64, []
+        for n, kind in enumerate(kinds, 1):
+            h = sha(f"{run}|{n}|{sha(kind)}|{last}")
+            chain.append((run, n, kind, last, h))
+            last = h
+        built.update(chain)
+        if run % 4 == 1 and len(chain) > 3:
+            checked[run] = ("incomplete", 3, 2, "3", "")
+        elif run % 3 == 0 and len(chain) >= 4:
+            checked[run] = ("broken", 4, 3, "", "")
+        else:
+            checked[run] = ("verified", 0, min(len(chain), 2) if run % 4 == 1 else len(chain), "", "")
+    got = QUERIES["audit_chain_build_whole"](spark, sf_dir).select("run", "sequence", "payload", "previous_hash", "event_hash").collect()
+    assert len(got) == len(built) == duck.execute("select count(*) from events").fetchone()[0] and {tuple(r) for r in got} == built
+    assert {r["run"]: (r["status"], r["first_invalid"], r["verified_events"], r["missing"], r["doubled"]) for r in QUERIES["audit_chain_verify_whole"](spark, sf_dir).collect()} == checked
