@@ -152,6 +152,7 @@ def phone_parse(spark: SparkSession, d: str) -> DataFrame:
     return p.select("c_custkey", "p.digits", "p.prefix", "p.country_code", "p.national_number", "p.extension", "p.is_valid", "p.is_complete")
 
 
+@whole(" AND x.c_custkey // 60 = y.c_custkey // 60")
 @query(
     f"""WITH {PHONE_SQL}, m AS (SELECT x.c_custkey AS a, y.c_custkey AS b, x.digits AS xd, y.digits AS yd, x.prefix AS xp, y.prefix AS yp, x.code AS xc, y.code AS yc, x.nat AS xn, y.nat AS yn, x.valid AS xv, y.valid AS yv
   FROM ph x JOIN ph y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey AND x.c_custkey // 60 = y.c_custkey // 60),
@@ -162,10 +163,11 @@ SELECT a, b, CASE WHEN NOT xv OR NOT yv OR xd = '' OR yd = '' THEN 'insufficient
        WHEN len(xd) >= 7 AND len(yd) >= 7 AND xd[-7:] = yd[-7:] THEN 'weak_suffix_overlap' ELSE 'insufficient' END
   WHEN xd = yd THEN 'exact_match' WHEN len(xd) >= 7 AND len(yd) >= 7 THEN 'conflict' ELSE 'insufficient' END AS outcome FROM z"""
 )
-def phone_compare(spark: SparkSession, d: str) -> DataFrame:
+def phone_compare(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Pairs of one nation's customers; unless whole, in blocks of 60 keys, as the SQL has it."""
     p = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_custkey") / 60).alias("block"), phone.parse(F.expr(SPARK_PHONE_TEXT)).alias("p"))
     side = lambda s: p.select("c_nationkey", "block", F.col("c_custkey").alias(s), F.col("p").alias(f"p{s}"))
-    return side("a").join(side("b"), ["c_nationkey", "block"]).where("a < b").select("a", "b", phone.outcome(F.col("pa"), F.col("pb")).alias("outcome"))
+    return side("a").join(side("b"), ["c_nationkey"] if whole else ["c_nationkey", "block"]).where("a < b").select("a", "b", phone.outcome(F.col("pa"), F.col("pb")).alias("outcome"))
 
 
 @query(f"WITH {PHONE_SQL}, k AS (SELECT c_nationkey AS scope, c_custkey AS record, digits[-7:] AS key FROM ph WHERE len(digits) >= 7) SELECT x.scope, x.record AS a, y.record AS b FROM k x JOIN k y ON x.scope = y.scope AND x.key = y.key AND x.record < y.record")
@@ -197,15 +199,17 @@ _CLOCK = "(event_id % 12 + 1) || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2,
 _MINUTES = "CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 12 + 1 < 12 THEN event_id % 12 + 13 ELSE 12 END WHEN event_id % 3 = 1 AND event_id % 12 + 1 = 12 THEN 0 ELSE event_id % 12 + 1 END * 60 + event_id % 60"
 
 
+@whole(" AND x.event_id // 500 = y.event_id // 500")
 @query(
     f"""WITH e AS (SELECT event_id, user_id, {_MINUTES} AS m FROM events)
 SELECT x.event_id AS a, y.event_id AS b, CASE WHEN y.m >= x.m OR abs(y.m - x.m) <= 30 THEN 'compatible' ELSE 'conflict' END AS class
 FROM e x JOIN e y ON x.user_id = y.user_id AND x.event_id // 500 = y.event_id // 500 AND x.event_id < y.event_id"""
 )
-def time_window_compare(spark: SparkSession, d: str) -> DataFrame:
+def time_window_compare(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Pairs of one user's events; unless whole, in blocks of 500 ids, as the SQL has it."""
     e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 500).alias("block"), F.concat(F.lit("seen around "), F.expr(_CLOCK.replace("VARCHAR", "STRING"))).alias("said"))
     side = lambda s: e.select("user_id", "block", F.col("event_id").alias(s), F.col("said").alias(f"t{s}"))
-    met = side("a").join(side("b"), ["user_id", "block"]).where("a < b")
+    met = side("a").join(side("b"), ["user_id"] if whole else ["user_id", "block"]).where("a < b")
     return met.select("a", "b", compare.time_window(F.col("ta"), F.col("tb"), POLICY["last_seen_time"])["class"].alias("class"))
 
 

@@ -51,3 +51,13 @@ def test_chain_of_all_events(spark, sf_dir, duck):
     got = QUERIES["audit_chain_build_whole"](spark, sf_dir).select("run", "sequence", "payload", "previous_hash", "event_hash").collect()
     assert len(got) == len(built) == duck.execute("select count(*) from events").fetchone()[0] and {tuple(r) for r in got} == built
     assert {r["run"]: (r["status"], r["first_invalid"], r["verified_events"], r["missing"], r["doubled"]) for r in QUERIES["audit_chain_verify_whole"](spark, sf_dir).collect()} == checked
+
+
+def test_no_block_of_ids_keeps_pairs_apart(spark, tmp_path):
+    spark.range(1, 2).selectExpr("7L as c_nationkey", "explode(array(9L, 9L + 90000)) as c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1, 2).selectExpr("3L as user_id", "explode(array(0L, 720001L)) as event_id").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(1, 2).selectExpr("'B' as p_brand", "5 as p_size", "'T' as p_type", "'hot ring' as p_name", "explode(array(1L, 90001L)) as p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    rows = lambda q: [tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()]
+    assert rows("phone_compare_whole") == [(9, 90009, "exact_match")]
+    assert rows("time_window_compare_whole") == [(0, 720001, "conflict")]
+    assert [r[:2] for r in rows("retrieval_score_whole")] == [r[:2] for r in rows("pair_evidence_audit_whole")] == [(1, 90001)]
