@@ -227,17 +227,17 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def indel_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Name similarity of all pairs of different part names, by the native fold (tests hold it against the Arrow version and brute force)."""
-    p = table(spark, d, "part").select("p_name").distinct().withColumn("k", F.substring("p_name", 1, 1))
-    a, b = p.select("k", F.col("p_name").alias("a")), p.select("k", F.col("p_name").alias("b"))
-    return a.join(b, "k").where("a < b").select("a", "b", text.indel_ratio(F.col("a"), F.col("b")).alias("ratio"))
+    p = table(spark, d, "part").select("p_name").distinct()
+    a, b = p.select(F.col("p_name").alias("a")), p.select(F.col("p_name").alias("b"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", text.indel_ratio(F.col("a"), F.col("b")).alias("ratio"))
 
 
 @query()
 def name_channels(spark: SparkSession, d: str) -> DataFrame:
-    """Channel, class and share of all pairs of different part names that begin alike."""
-    p = table(spark, d, "part").select("p_name").distinct().select(F.substring("p_name", 1, 1).alias("k"), "p_name", names.represent("p_name").alias("r"))
-    a, b = p.select("k", F.col("p_name").alias("a"), F.col("r").alias("ra")), p.select("k", F.col("p_name").alias("b"), F.col("r").alias("rb"))
-    met = a.join(b, "k").where("a < b")
+    """Channel, class and share of all pairs of different part names. A name's first character says nothing across scripts, and no key of a channel is exact for ratios, so none keeps pairs apart."""
+    p = table(spark, d, "part").select("p_name").distinct().select("p_name", names.represent("p_name").alias("r"))
+    a, b = p.select(F.col("p_name").alias("a"), F.col("r").alias("ra")), p.select(F.col("p_name").alias("b"), F.col("r").alias("rb"))
+    met = a.join(b, F.col("a") < F.col("b"))
     for c in ("unicode", "latin", "skeleton"):
         met = met.withColumn(f"{c}_ratio", names.indel_ratio(F.col(f"ra.{c}"), F.col(f"rb.{c}")))
     chan = names.channel(F.col("ra"), F.col("rb"), F.col("unicode_ratio"), F.col("latin_ratio"), F.col("skeleton_ratio"))

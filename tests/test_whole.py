@@ -3,6 +3,7 @@
 import hashlib
 from collections import defaultdict
 
+from corrolink.functions import names
 from corrolink.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -61,3 +62,14 @@ def test_no_block_of_ids_keeps_pairs_apart(spark, tmp_path):
     assert rows("phone_compare_whole") == [(9, 90009, "exact_match")]
     assert rows("time_window_compare_whole") == [(0, 720001, "conflict")]
     assert [r[:2] for r in rows("retrieval_score_whole")] == [r[:2] for r in rows("pair_evidence_audit_whole")] == [(1, 90001)]
+
+
+def test_names_meet_whatever_their_first_letters(spark, tmp_path):
+    said = ["Yusuf Ali", "Юсуф Али", "hot ring", "not ring", "Ivan Petrov", "Иван Петров"]
+    spark.createDataFrame([(k, n) for k, n in enumerate(said + said[:2])], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    ratio = {(r["a"], r["b"]): r["ratio"] for r in QUERIES["indel_ratio"](spark, str(tmp_path)).collect()}
+    pairs = {(a, b) for a in said for b in said if a < b}
+    assert ratio.keys() == pairs and all(abs(v - names.ratio(*p)) < 1e-9 for p, v in ratio.items())
+    channel = {(r["a"], r["b"]): (r["channel"], r["score"]) for r in QUERIES["name_channels"](spark, str(tmp_path)).collect()}
+    assert channel.keys() == pairs
+    assert channel["Ivan Petrov", "Иван Петров"][1] > 0 and channel["hot ring", "not ring"][1] > 0
