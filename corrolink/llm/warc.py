@@ -1,8 +1,8 @@
 """WARC archives: a writer of gzip members, one for each record, and a splittable reader.
 
 The reader deals byte ranges of the archives out to tasks. A task scans its range for the gzip
-magic, takes a candidate for a member only if its start inflates to a WARC version line with whole
-headers, and owns the records that start inside its range; the last of them may reach beyond it.
+magic, takes a candidate for a member only if it inflates to a WARC version line with whole
+headers of any length, and owns the records that start inside its range; the last of them may reach beyond it.
 
 Cases at the edge: null html is an empty payload; a null url gives a target made of the id; rows
 with a null page_id are responses; rows that share the smallest page_id of a payload are all
@@ -36,8 +36,8 @@ DATE = "2024-01-01T00:00:00Z"
 
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 20
-#: Headers of a record must end within so many inflated bytes.
-HEADER_BYTES = 64 << 10
+#: So many bytes of a candidate are at hand when its first inflated bytes are looked at.
+PROBE_BYTES = 64 << 10
 
 
 # ---- files: local ones directly, all others by their scheme
@@ -117,12 +117,14 @@ def parse_headers(data: bytes) -> dict[str, str] | None:
     return headers if headers.get("content-length", "").isdigit() and "warc-type" in headers else None
 
 
-def _is_member(data: bytes, at: int) -> bool:
-    """Whether a gzip member with a WARC record starts there; inflates the headers at most."""
+def _may_be_member(data: bytes, at: int) -> bool:
+    """False if what starts there is no gzip member or does not inflate to the start of a WARC version line."""
+    z, mark = zlib.decompressobj(31), VERSION[:5]
     try:
-        return parse_headers(zlib.decompressobj(31).decompress(data[at : at + HEADER_BYTES], HEADER_BYTES)) is not None
+        start = z.decompress(data[at : at + PROBE_BYTES], len(mark))
     except zlib.error:
         return False
+    return mark.startswith(start) and not (z.eof and start != mark)
 
 
 def records_in(f: BinaryIO, start: int, end: int) -> Iterator[Record]:
@@ -146,9 +148,9 @@ def records_in(f: BinaryIO, start: int, end: int) -> Iterator[Record]:
         at = base + found
         if at >= end:
             return
-        while len(data) - (at - base) < HEADER_BYTES and more():
+        while len(data) - (at - base) < PROBE_BYTES and more():
             pass
-        if not _is_member(data, at - base):
+        if not _may_be_member(data, at - base):
             at += 1
             continue
         z, parts, piece = zlib.decompressobj(31), [], data[at - base :]
@@ -156,15 +158,17 @@ def records_in(f: BinaryIO, start: int, end: int) -> Iterator[Record]:
             while piece and not z.eof:
                 parts.append(z.decompress(piece))
                 piece = b"" if z.eof else f.read(READ_BYTES)
-        except zlib.error:  # whole headers, but the rest is damaged: not a record
+        except zlib.error:  # damaged: not a record
+            parts = []
+        whole = b"".join(parts)
+        headers = parse_headers(whole)
+        if headers is None:
             at += 1
             f.seek(at)
             base, data = at, b""
             continue
         if not z.eof:
             return  # the archive breaks off inside this record
-        whole = b"".join(parts)
-        headers = parse_headers(whole)
         skip = whole.find(b"\r\n\r\n") + 4
         yield Record(at, headers, whole[skip : skip + int(headers["content-length"])])
         data = z.unused_data
@@ -251,7 +255,16 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = max(1, min(10_000, ranges.count()))
     number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("bigint"))
-    return read_archives(ranges, tasks).select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
+    read = read_archives(ranges, tasks).select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
+    return checked_count(common.written(read, "records"), manifest)
+
+
+def checked_count(read: DataFrame, manifest: DataFrame) -> DataFrame:
+    """What was read, if it has as many rows as the manifest has records."""
+    wrote, found = manifest.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0], read.count()
+    if wrote != found:
+        raise ValueError(f"{found} records were read of {wrote} in the archives")
+    return read
 
 
 _CHUNK = "('0x' || substr(h, {0}, 5))::BIGINT"
