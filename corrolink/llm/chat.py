@@ -24,7 +24,7 @@ Template = Callable[[list[Turn]], str]
 
 # The marks of the built-in template.
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Up to so many turns every prefix is rendered whole; later turns are rendered behind the last so many.
+#: Of an additive template, up to so many turns every prefix is rendered whole; later turns are rendered behind the last so many.
 WINDOW = 512
 
 
@@ -44,6 +44,9 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}" for role, text in turns)
 
 
+chatml.additive = True  # a turn's part depends on that turn alone
+
+
 class Rendered(NamedTuple):
     text: str
     spans: list[tuple[int, int]]
@@ -55,15 +58,17 @@ def render(template: Template, turns: list[Turn], window: int = WINDOW) -> Rende
 
     Where a template rewrites history, spans are those of the final output as far as it agrees with
     the prefix outputs, and empty beyond; rewritten_at says which turn did it.
-    Beyond `window` turns, a turn's part is found behind the last `window` turns, and all parts
-    together are held against the rendering of the whole.
+    True prefixes are rendered, which takes time by the square of the turns; only of a template that is
+    declared additive (its attribute `additive`), a turn's part beyond `window` turns is found behind the
+    last `window` turns, and all parts together are held against the rendering of the whole.
     """
+    additive = getattr(template, "additive", False)
     whole = template(turns)
     spans: list[tuple[int, int]] = []
     before, at, rewritten = template([]), 0, None
     at = len(before) if whole.startswith(before) else 0
     for i in range(len(turns)):
-        if i < window:
+        if i < window or not additive:
             now = template(turns[: i + 1])
             grown = now.startswith(before)
             added = now[len(before) :] if grown else ""

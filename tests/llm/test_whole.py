@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from corrolink.llm import common, warc
+from corrolink.llm import chat, common, warc
 
 
 def test_warc_reads_headers_of_any_length(spark):
@@ -29,3 +29,17 @@ def test_warc_reader_skips_heads_that_do_not_end():
     assert [r.payload for r in warc.records_in(io.BytesIO(data), 0, len(data))] == [b"p"]
     cut = good + gzip.compress(b"WARC/1.1\r\n" + b"a: b\r\n" * 50_000)[:-9]
     assert [r.payload for r in warc.records_in(io.BytesIO(cut), 0, len(cut))] == [b"p"]
+
+
+def test_chat_renders_true_prefixes_of_black_boxes():
+    turns = [("assistant" if i % 2 else "user", f"t{i}") for i in range(601)]
+
+    def numbered(said):
+        if said and said[0] != turns[0]:
+            raise ValueError("the first turn is missing")
+        return "".join(f"{k} {role}: {text}\n" for k, (role, text) in enumerate(said))
+
+    out = chat.render(numbered, turns)
+    assert out.rewritten_at is None
+    assert [out.text[s:e] for s, e in out.spans] == [f"{k} {role}: {text}\n" for k, (role, text) in enumerate(turns)]
+    assert chat.render(chat.chatml, turns) == chat.render(lambda said: chat.chatml(said), turns)
