@@ -67,7 +67,16 @@ class Encoded(NamedTuple):
 
     def segmentations(self) -> list[list[int]]:
         """Ids of each of the n best."""
-        return [list(itertools.chain.from_iterable([dict(picks).get(k, f.ids) for k, f in enumerate(self.found)])) for picks in self.picks]
+        if not any(self.picks):
+            return [self.ids] * len(self.picks)
+        ends = list(itertools.accumulate([len(f.ids) for f in self.found]))
+        out = []
+        for picks in self.picks:
+            ids = self.ids.copy()
+            for k, alt in reversed(picks):  # from the end, so that earlier places hold
+                ids[ends[k] - len(self.found[k].ids) : ends[k]] = alt
+            out.append(ids)
+        return out
 
 
 class Vocabulary(NamedTuple):
@@ -361,7 +370,7 @@ def _codec(held) -> Codec:
 
 
 def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its id, the ids of the best segmentation, the scores and piece counts of the n best, and whether decoding gives the text back."""
+    """For each row its id, the ids of the best segmentation, the scores, piece counts and ids of the n best, and whether decoding gives the text back."""
     common.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # as large as the model
     kind = docs.schema[id_col].dataType.simpleString()
@@ -372,6 +381,11 @@ def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: str =
         out = codec.encode_all(ts, n)
         lens = np.array([len(o.ids) if o else 0 for o in out])
         offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32), mask=np.array([*(o is None for o in out), False]))
+        every = [o.segmentations() if o else None for o in out]
+        one = [s for e in every if e for s in e]
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in one])]).astype(np.int32)
+        firsts = pa.array(np.concatenate([[0], np.cumsum([len(e) if e else 0 for e in every])]).astype(np.int32), mask=np.array([*(o is None for o in out), False]))
+        pieces = np.fromiter(itertools.chain.from_iterable(one), dtype=np.int32, count=int(starts[-1]))
         flat = np.fromiter(itertools.chain.from_iterable([o.ids for o in out if o]), dtype=np.int32, count=int(lens.sum()))
         return {
             "doc_id": batch.column("id"),
@@ -381,12 +395,13 @@ def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: str =
             "nbest_pieces": [None if o is None else o.sizes() for o in out],
             "round_trip": [None if o is None else codec.decode(o.ids) == t for o, t in zip(out, ts, strict=True)],
             "ids": pa.ListArray.from_arrays(offsets, pa.array(flat)),
+            "nbest_ids": pa.ListArray.from_arrays(firsts, pa.ListArray.from_arrays(pa.array(starts), pa.array(pieces))),
         }
 
     return common.mapped(
         docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as t"),
         run,
-        f"doc_id {kind}, n_pieces bigint, score double, nbest_scores array<double>, nbest_pieces array<int>, round_trip boolean, ids array<int>",
+        f"doc_id {kind}, n_pieces bigint, score double, nbest_scores array<double>, nbest_pieces array<int>, round_trip boolean, ids array<int>, nbest_ids array<array<int>>",
     )
 
 
@@ -408,5 +423,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: piece ids of each document."""
-    return encoded(docs, n=1).select("doc_id", "n_pieces", "score", "round_trip", "ids")
+    """Last pipeline stage: piece ids of each document, and the scores and ids of its n best segmentations."""
+    return encoded(docs).select("doc_id", "n_pieces", "score", "round_trip", "ids", "nbest_scores", "nbest_ids")

@@ -5,7 +5,9 @@ import io
 
 import pytest
 
-from corrolink.llm import chat, common, warc
+from corrolink.llm import chat, common, sentencepiece_codec, warc
+
+from . import cases
 
 
 def test_warc_reads_headers_of_any_length(spark):
@@ -43,3 +45,18 @@ def test_chat_renders_true_prefixes_of_black_boxes():
     assert out.rewritten_at is None
     assert [out.text[s:e] for s, e in out.spans] == [f"{k} {role}: {text}\n" for k, (role, text) in enumerate(turns)]
     assert chat.render(chat.chatml, turns) == chat.render(lambda said: chat.chatml(said), turns)
+
+
+def test_encoding_gives_ids_of_all_segmentations(spark, sf_dir):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load(sentencepiece_codec.MODEL))
+    docs = cases.documents(spark)
+    for rows in (sentencepiece_codec.encoded(docs).collect(), sentencepiece_codec.encode_stage(spark, docs, sf_dir).collect()):
+        texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+        for r in rows:
+            t = texts[r["doc_id"]]
+            if t is None:
+                assert r["nbest_ids"] is None
+                continue
+            assert r["nbest_ids"][0] == r["ids"] and len(r["nbest_ids"]) == len(r["nbest_scores"])
+            assert len(set(map(tuple, r["nbest_ids"]))) == len(r["nbest_ids"]) and all(codec.decode(s) == t for s in r["nbest_ids"])
+        assert max(len(r["nbest_ids"] or []) for r in rows) == sentencepiece_codec.N_BEST
