@@ -149,6 +149,15 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(docs, common.table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the items that it nearly holds; beside op10_decontam, whose columns are those of its SQL."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    near = proximity(docs, common.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    items = near.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("near_items"))
+    rows = docs.select(row_key("doc_id", "text").alias("key"), "doc_id").join(items, "key", "left")
+    return rows.select("doc_id", F.coalesce(F.size("near_items"), F.lit(0)).cast("long").alias("n_near"), "near_items")
+
+
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a window of an item go."""
     _, hits, _ = phrases(docs, common.table(spark, sf_dir, "benchmark"))

@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_chat": chat.op9_chat,
         "op10_decontam": decontam.op10_decontam,
+        "op10_proximity": decontam.op10_proximity,
     }
 
 

@@ -5,6 +5,7 @@ import io
 
 import pytest
 
+import __spark_entry__
 from corrolink.llm import chat, common, sentencepiece_codec, warc
 
 from . import cases
@@ -60,3 +61,15 @@ def test_encoding_gives_ids_of_all_segmentations(spark, sf_dir):
             assert r["nbest_ids"][0] == r["ids"] and len(r["nbest_ids"]) == len(r["nbest_scores"])
             assert len(set(map(tuple, r["nbest_ids"]))) == len(r["nbest_ids"]) and all(codec.decode(s) == t for s in r["nbest_ids"])
         assert max(len(r["nbest_ids"] or []) for r in rows) == sentencepiece_codec.N_BEST
+
+
+def test_near_passages_are_reported_over_the_whole_table(spark, tmp_path):
+    said = [f"word{i}" for i in range(40)]
+    near = " ".join(w + (" zz" if i % 5 == 4 else "") for i, w in enumerate(said))
+    docs = [(1, near), (2, "nothing of it"), (3, " ".join(said)), (4, None), (1, near)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, " ".join(said))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    run = lambda q: __spark_entry__.queries()[q](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["contaminated"]) for r in run("op10_decontam")) == [(1, False), (1, False), (2, False), (3, True), (4, False)]
+    got = sorted((r["doc_id"], r["n_near"], r["near_items"] or []) for r in run("op10_proximity"))
+    assert got == [(1, 1, [7]), (1, 1, [7]), (2, 0, []), (3, 1, [7]), (4, 0, [])]
