@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -10,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,8 +22,10 @@ from pyspark.sql.types import _parse_datatype_string
 
 #: Rows of an Arrow batch; documents may be long, so a batch stays small.
 BATCH_ROWS = 512
-#: Tables of up to so many (narrow) rows may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes of a batch that an operator works on at once.
+TEXT_BYTES = 1 << 20
+#: Tables of up to so many bytes may be broadcast.
+BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts do not fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of no more rows than BATCH_ROWS, so that long texts do not fill a Python worker; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,9 +67,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows are few enough; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= rows else df
+def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its counted bytes are few enough; else joins shuffle it."""
+    text = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns]
+    size = df.agg(F.sum(sum(text, F.lit(32)))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -75,15 +94,66 @@ def arrow_schema(schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow over batches: fn gets a RecordBatch and gives a dict of columns or None."""
+def by_bytes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes: small batches are joined, large ones cut; a longer row stands alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        if rows < batch.num_rows and batch.nbytes > size:
+            sizes = _row_bytes(batch)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // size, prepend=0)).tolist()
+            parts = [batch.slice(a, b - a) for a, b in itertools.pairwise([0, *cuts, batch.num_rows]) if b > a]
+        else:
+            parts = [batch]
+        for part in parts:
+            held.append(part)
+            if sum(p.nbytes for p in held) >= size:
+                yield _joined(held)
+                held = []
+    if held:
+        yield _joined(held)
+
+
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.full(batch.num_rows, 8, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            out += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            out += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def mapped(df: DataFrame, fn, schema: str, size: int = TEXT_BYTES, per_task: bool = False) -> DataFrame:
+    """mapInArrow over batches of about `size` bytes: fn gets a RecordBatch and gives a dict of columns or None.
+
+    With per_task, fn is called once in each task and gives the function of its batches, which may keep state.
+    """
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        own = fn() if per_task else fn
+        try:
+            for batch in by_bytes(batches, size):
+                out = own(batch)
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
+                del batch, out
+        finally:
+            del own
+            give_back()
 
     return df.mapInArrow(run, schema)
 

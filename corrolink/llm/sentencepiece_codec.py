@@ -8,7 +8,8 @@ each chunk is searched alone and remembered, and a text's N best are the N best
 
 Blanks become the mark U+2581, and one is put before the text, as the model's own encoder does. A
 mark that the text itself holds is spelt in bytes, so decoding gives every text back exactly.
-Ties: of segmentations with one score, the one whose pieces, from the end, start earlier comes first.
+Ties: Viterbi's best comes first, in which earlier starts of a piece win; among the others the path that
+is nearer to the front, then the one that the search proposed first.
 
 Cases at the edge: a null text has null ids and a null score; an empty text has no pieces and score 0;
 repeated rows are encoded alike; an empty table gives an empty result; surrogates that are alone
@@ -33,12 +34,14 @@ MARK = "▁"
 N_BEST = 3
 #: Stands for a blank mark that a text itself holds; no chunk is so long and unknown.
 OWN_MARK = "\0" + MARK
-#: Chunks remembered by a worker; then it starts anew.
-REMEMBERED = 700_000
+#: Chunks remembered by a task; beyond that only those that came again stay.
+REMEMBERED = 100_000
+#: Bytes of text whose chunks are numbered and searched together.
+TEXT_BYTES = 3 << 19
 
-
-#: Chunks of up to so many characters are searched together with others of their length.
+#: Chunks of up to so many characters are searched together, up to GROUP of them.
 TOGETHER = 40
+GROUP = 16_384
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,25 +61,44 @@ class Found(NamedTuple):
 class Encoded(NamedTuple):
     ids: list[int]  # of the best segmentation
     scores: list[float]  # of the n best
-    picks: list[tuple[tuple[int, tuple[int, ...]], ...]]  # of each of them, the chunks that are not as in the best
-    found: list[Found]
+    every: list[list[int]]  # ids of each of the n best
 
     def sizes(self) -> list[int]:
         """Number of pieces of each of the n best."""
-        return [len(self.ids) + sum(len(alt) - len(self.found[k].ids) for k, alt in picks) for picks in self.picks]
+        return [len(s) for s in self.every]
 
     def segmentations(self) -> list[list[int]]:
-        """Ids of each of the n best."""
-        if not any(self.picks):
-            return [self.ids] * len(self.picks)
-        ends = list(itertools.accumulate([len(f.ids) for f in self.found]))
-        out = []
-        for picks in self.picks:
-            ids = self.ids.copy()
-            for k, alt in reversed(picks):  # from the end, so that earlier places hold
-                ids[ends[k] - len(self.found[k].ids) : ends[k]] = alt
-            out.append(ids)
-        return out
+        return self.every
+
+
+class Segmented(NamedTuple):
+    """The n best segmentations of several texts; those of text k are first[k] to first[k + 1], a null text has none."""
+
+    first: np.ndarray
+    scores: np.ndarray
+    starts: np.ndarray  # where the ids of each segmentation begin, and where the last ones end
+    ids: np.ndarray
+
+    def of(self, k: int) -> Encoded | None:
+        every = [self.ids[self.starts[s] : self.starts[s + 1]].tolist() for s in range(self.first[k], self.first[k + 1])]
+        return Encoded(every[0], self.scores[self.first[k] : self.first[k + 1]].tolist(), every) if every else None
+
+
+class Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1024, dtype=kind), 0
+
+    def extend(self, values) -> None:
+        to = self.n + len(values)
+        if to > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(to, 2 * self.n) - self.n, dtype=self.held.dtype)])
+        self.held[self.n : to] = values
+        self.n = to
+
+    def __getitem__(self, at):
+        return self.held[at]
 
 
 class Vocabulary(NamedTuple):
@@ -113,11 +135,9 @@ class Codec:
         self.known_char = single
         known = "".join(re.escape(ch) for ch in sorted(single - {MARK}))
         self.cut = re.compile(f"{MARK}+[{known}]*|[{known}]+|[\\s\\S]").findall
-        self.of_byte = {i: b for b, i in enumerate(vocabulary.byte_ids)}
-        self.high_bytes = set(vocabulary.byte_ids[128:])
-        self.texts = [p.replace(MARK, " ") for p in vocabulary.pieces]
-        for b in range(128):
-            self.texts[vocabulary.byte_ids[b]] = chr(b)
+        self.said = [p.replace(MARK, " ").encode("utf-8") for p in vocabulary.pieces]
+        for b, i in enumerate(vocabulary.byte_ids):
+            self.said[i] = bytes([b])
         own = [(_hash(p), i) for i, p in enumerate(vocabulary.pieces) if p]
         if len({h for h, _ in own}) < len(own):
             raise ValueError("two pieces have one hash")
@@ -125,16 +145,32 @@ class Codec:
         self.hashes = np.array([h for h, _ in own], dtype=np.uint64)
         self.sorted_ids = np.array([i for _, i in own], dtype=np.int32)
         self.sorted_scores = np.array([vocabulary.scores[i] for _, i in own])
-        self.bitmap = np.zeros(1 << 22, dtype=bool)
-        self.bitmap[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
-        self.begins = np.zeros(1 << 22, dtype=bool)
+        self.bucket = np.searchsorted(self.hashes, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
+        self.deepest = int(np.diff(self.bucket, append=len(self.hashes)).max(initial=0))
+        self.begins = np.zeros(1 << 21, dtype=np.uint8)  # bit 1: what may begin a piece, bit 2: what may be one
         for piece in vocabulary.pieces:
             h = 0
             for ch in piece:
                 h = (h + ord(ch) + 1) * int(_P) & (2**64 - 1)
-                self.begins[h >> 42] = True
+                self.begins[h >> 43] |= 1
+        self.begins[(self.hashes >> np.uint64(43)).astype(np.int64)] |= 2
         self.longest = max(map(len, vocabulary.pieces))
-        self.chunks: dict[str, Found] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Chunks are numbered; a number tells where the ids of a segmentation stand, how many they are, its score and its gap."""
+        self.number: dict[str, int] = {}
+        self.others: dict[tuple[int, int], list[tuple[float, int]]] = {}
+        self.flat, self.first, self.size, self.score, self.gap, self.uses = (Grown(k) for k in (np.int32, np.int64, np.int64, np.float64, np.float64, np.int64))
+
+    def prune(self) -> None:
+        """Forget the chunks that came once since the last time."""
+        kept = [(c, k) for c, k in self.number.items() if self.uses[k] > 1]
+        at = np.array([k for _, k in kept], dtype=np.int64)
+        size, score, gap = self.size[at], self.score[at], self.gap[at]
+        flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.first[at] - (np.cumsum(size) - size), size)]
+        self.forget()
+        self._number([c for c, _ in kept], self._remember(flat, size, score, gap))
 
     # ---- one chunk of characters that all have pieces
 
@@ -193,58 +229,89 @@ class Codec:
         for i, here in enumerate(edges):
             for end, piece, score in here:
                 into[end].append((i, piece, score))
-        heap = [(-forward[-1], (), len(chunk), 0.0, ())]
+        heap = [(-forward[-1], len(chunk), 0, 0.0, None)]  # a path is its first piece and the path behind that
         out: list[tuple[float, tuple[int, ...]]] = []
+        proposed = itertools.count(1)
         while heap and len(out) < n:
-            neg, starts, at, behind, ids = heapq.heappop(heap)
+            neg, at, _, behind, path = heapq.heappop(heap)
             if not at:
-                out.append((-neg, ids))
+                ids = []
+                while path:
+                    ids.append(path[0])
+                    path = path[1]
+                out.append((-neg, tuple(ids)))
                 continue
             for i, piece, score in into[at]:
                 if forward[i] > -np.inf:
-                    heapq.heappush(heap, (-(forward[i] + score + behind), (*starts, i), i, score + behind, (piece, *ids)))
+                    heapq.heappush(heap, (-(forward[i] + score + behind), i, next(proposed), score + behind, (piece, path)))
         return out
 
     # ---- many chunks at once
 
-    def best_many(self, chunks: list[str]) -> None:
-        """Find and remember the best segmentations of chunks, those of one length together."""
-        if len(self.chunks) + len(chunks) > REMEMBERED:
-            self.chunks.clear()
-        by_length: dict[int, list[str]] = {}
-        for chunk in chunks:
-            by_length.setdefault(len(chunk), []).append(chunk)
-        for length, group in by_length.items():
-            if length > TOGETHER:
-                for chunk in group:
-                    self.found(chunk)
-                continue
-            for k in range(0, len(group), 4096):
-                self._best_group(group[k : k + 4096], length)
-
-    def _lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are pieces', and the places of those pieces in the sorted table."""
-        maybe = np.flatnonzero(self.bitmap[(h >> np.uint64(42)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-        sure = self.hashes[at] == h[maybe]
-        return maybe[sure], at[sure]
-
-    def _best_group(self, group: list[str], n: int) -> None:
-        m = len(group)
-        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
+    def _remember(self, flat, sizes, scores, gaps) -> int:
+        """Number further segmentations, whose ids stand one behind the other; gives the first number."""
+        base, sizes = self.size.n, np.asarray(sizes, dtype=np.int64)
+        self.first.extend(self.flat.n + np.cumsum(sizes) - sizes)
+        for grown, values in ((self.flat, flat), (self.size, sizes), (self.score, scores), (self.gap, gaps), (self.uses, np.zeros(len(sizes), dtype=np.int64))):
+            grown.extend(values)
+        return base
+
+    def _number(self, chunks: list[str], base: int) -> None:
+        self.number.update(zip(chunks, range(base, base + len(chunks)), strict=True))
+
+    def best_many(self, chunks) -> None:
+        """Find and remember the best segmentations of chunks that are not remembered yet."""
+        known = [c for c in chunks if c[0] in self.known_char]
+        short = sorted([c for c in known if len(c) <= TOGETHER], key=len, reverse=True)
+        for k in range(0, len(short), GROUP):
+            self._best_group(short[k : k + GROUP])
+        rest = {c: self.best(c) for c in known if len(c) > TOGETHER}
+        rest |= {c: self._spelt(MARK if c == OWN_MARK else c) for c in chunks if c[0] not in self.known_char}
+        if rest:
+            flat = list(itertools.chain.from_iterable(f.ids for f in rest.values()))
+            self._number(list(rest), self._remember(flat, [len(f.ids) for f in rest.values()], [f.score for f in rest.values()], [f.gap for f in rest.values()]))
+
+    def remembered(self, chunk: str) -> Found:
+        k = self.number[chunk]
+        return Found(tuple(self.flat[self.first[k] : self.first[k] + self.size[k]].tolist()), float(self.score[k]), float(self.gap[k]))
+
+    def _lookup(self, h: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes, of those at the places `maybe`, are pieces', and the places of those pieces in the sorted table."""
+        wanted = h[maybe]
+        at = self.bucket[(wanted >> np.uint64(46)).astype(np.int64)]
+        sure, place = np.zeros(len(maybe), dtype=bool), at.copy()
+        for k in range(self.deepest):
+            here = np.minimum(at + k, len(self.hashes) - 1)
+            hit = self.hashes[here] == wanted
+            sure |= hit
+            place[hit] = here[hit]
+        return maybe[sure], place[sure]
+
+    def _best_group(self, group: list[str]) -> None:
+        """`best` of many chunks, the longest first: those that reach a place are the first of them."""
+        m, lens = len(group), np.array([len(c) for c in group])
+        n, every = int(lens[0]), np.arange(m)
+        inner = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+        codes = np.zeros((n, m), dtype=np.uint64)
+        codes[inner, np.repeat(every, lens)] = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        reach = [int(k) for k in np.searchsorted(-lens, -np.arange(n + 1), side="right")]  # how many chunks have so many characters
         best = np.full((n + 1, m), -np.inf)
         best[0] = 0.0
         start, piece = np.zeros((n + 1, m), dtype=np.int16), np.zeros((n + 1, m), dtype=np.int32)
         found: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
         for i in range(n):
-            live, h = np.flatnonzero(best[i] > -np.inf), np.zeros(1, dtype=np.uint64)
+            live, h = np.flatnonzero(best[i, : reach[i + 1]] > -np.inf), np.zeros(1, dtype=np.uint64)
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                h = (h + codes[live, j - 1]) * _P
-                begins = self.begins[(h >> np.uint64(42)).astype(np.int64)]
+                if j > i + 1:
+                    cut = int(np.searchsorted(live, reach[j]))
+                    live, h = live[:cut], h[:cut]
+                h = (h + codes[j - 1, live]) * _P
+                kind = self.begins[(h >> np.uint64(43)).astype(np.int64)]
+                begins = kind & 1 > 0
                 live, h = live[begins], h[begins]  # only what begins a piece can become one
                 if not len(live):
                     break
-                own, at = self._lookup(h)
+                own, at = self._lookup(h, np.flatnonzero(kind[begins] & 2))
                 if len(own):
                     rows = live[own]
                     score = self.sorted_scores[at]
@@ -254,25 +321,28 @@ class Codec:
                     best[j, up], start[j, up], piece[j, up] = total[better], i, self.sorted_ids[at[better]]
                     found[i].append((j, rows, score))
         follows = np.zeros((n + 1, m), dtype=np.int16)  # where the best path goes from a place; 0: it does not come there
-        place, every = np.full(m, n), np.arange(m)
-        paths: list[list[int]] = [[] for _ in range(m)]
-        while len(every):
-            before = start[place, every].astype(np.int64)
-            follows[before, every] = place
-            for k, i in zip(every.tolist(), piece[place, every].tolist(), strict=True):
-                paths[k].append(i)
-            every, place = every[before > 0], before[before > 0]
+        rows, place, steps = every, lens.copy(), []
+        while len(rows):
+            before = start[place, rows].astype(np.int64)
+            follows[before, rows] = place
+            steps.append((rows, piece[place, rows]))
+            rows, place = rows[before > 0], before[before > 0]
+        sizes = np.bincount(np.concatenate([r for r, _ in steps]), minlength=m)
+        last = np.cumsum(sizes) - 1
+        flat = np.zeros(int(sizes.sum()), dtype=np.int32)
+        for back, (r, ids) in enumerate(steps):
+            flat[last[r] - back] = ids
         rest = np.full((n + 1, m), -np.inf)
-        rest[n] = 0.0
+        rest[lens, every] = 0.0
         second = np.full(m, -np.inf)
         for i in range(n - 1, -1, -1):
-            for j, rows, score in found[i]:
-                after = score + rest[j, rows]
-                rest[i, rows] = np.maximum(rest[i, rows], after)
-                other = np.where(follows[i, rows] == j, -np.inf, best[i, rows] + after)
-                second[rows] = np.maximum(second[rows], other)
-        for chunk, path, top, gap in zip(group, paths, best[n].tolist(), (best[n] - second).tolist(), strict=True):
-            self.chunks[chunk] = Found(tuple(path[::-1]), top, gap)
+            for j, r, score in found[i]:
+                after = score + rest[j, r]
+                rest[i, r] = np.maximum(rest[i, r], after)
+                other = np.where(follows[i, r] == j, -np.inf, best[i, r] + after)
+                second[r] = np.maximum(second[r], other)
+        top = best[lens, every]
+        self._number(group, self._remember(flat, sizes, top, top - second))
 
     # ---- texts
 
@@ -280,27 +350,71 @@ class Codec:
         """Chunks of a text: stretches of known characters that begin at blanks, and other characters alone."""
         return self.cut(MARK + text.replace(" ", MARK))
 
-    def found(self, chunk: str) -> Found:
-        known = self.chunks.get(chunk)
-        if known is None:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            known = self.chunks[chunk] = self.best(chunk) if chunk[0] in self.known_char else self._spelt(chunk)
-        return known
-
     def _spelt(self, chars: str) -> Found:
         ids = tuple(self.v.byte_ids[b] for b in chars.encode("utf-8", "surrogatepass"))
         return Found(ids, self.v.unknown * len(ids), np.inf)
 
-    def encode_all(self, texts: list[str | None], n: int = 1) -> list[Encoded | None]:
-        """`encode` of each text; chunks that are new are searched together."""
-        parts = [None if t is None else [] if not t else self.split_marked(t) for t in texts]
-        new = [c for c in set().union(*filter(None, parts)) if c not in self.chunks and c[0] in self.known_char]
-        self.best_many(new)
-        return [None if p is None else self._encoded(p, n) for p in parts]
+    def encode_all(self, texts: list[str | None], n: int = 1) -> Segmented:
+        """The n best segmentations of each text; chunks that are new are searched together."""
+        parts = [None if t is None else self.split_marked(t) if t else [] for t in texts]
+        chunks = list(itertools.chain.from_iterable(filter(None, parts)))
+        if len(self.number) > REMEMBERED:
+            self.prune()
+        num = np.fromiter(map(self.number.get, chunks, itertools.repeat(-1)), dtype=np.int64, count=len(chunks))
+        missing = np.flatnonzero(num < 0)
+        new = [chunks[k] for k in missing.tolist()]
+        self.best_many(set(new))
+        num[missing] = np.fromiter(map(self.number.__getitem__, new), dtype=np.int64, count=len(new))
+        self.uses.held[: self.size.n] += np.bincount(num, minlength=self.size.n)
+        lens = np.array([len(p) if p else 0 for p in parts], dtype=np.int64)
+        begin = np.cumsum(lens) - lens
+        score, gap = self.score[num], self.gap[num]
+        options = [[] if p is None else self._options(num, gap, a, a + size, n) for p, a, size in zip(parts, begin.tolist(), lens.tolist(), strict=True)]
+        best = [float(score[a : a + size].sum()) for a, size in zip(begin.tolist(), lens.tolist(), strict=True)]
+        counts = np.array([len(o) for o in options], dtype=np.int64)
+        size = np.repeat(lens, counts)  # chunks of each segmentation, and where they begin
+        at = np.cumsum(size) - size
+        which = num[np.arange(int(size.sum())) + np.repeat(np.repeat(begin, counts) - at, size)]
+        every = [(lost, picks, a, top) for o, a, top in zip(options, begin.tolist(), best, strict=True) for lost, picks in o]
+        for (_, picks, a, _), to in zip(every, at.tolist(), strict=True):
+            for k, rank in picks:
+                which[to + k - a] = self._alternatives(int(num[k]), n)[rank][1]
+        pieces = self.size[which]
+        ends = np.concatenate([[0], np.cumsum(pieces)])
+        ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.first[which] - ends[:-1], pieces)]
+        return Segmented(np.concatenate([[0], np.cumsum(counts)]), np.array([top - lost for lost, _, _, top in every]), ends[np.append(at, len(which))], ids)
 
     def encode(self, text: str, n: int = 1) -> Encoded:
-        return self.encode_all([text], n)[0]
+        return self.encode_all([text], n).of(0)
+
+    def _alternatives(self, number: int, n: int) -> list[tuple[float, int]]:
+        """What each of a chunk's n best segmentations loses against the best, and its number."""
+        known = self.others.get((number, n))
+        if known is None:
+            ids = self.flat[self.first[number] : self.first[number] + self.size[number]]
+            top = float(self.score[number])
+            found = [(top, tuple(ids.tolist()))]  # Viterbi's own stands first among equals
+            found = (found + [f for f in self.n_best(self._text_of(ids), n) if f[1] != found[0][1]])[:n]
+            base = self._remember(list(itertools.chain.from_iterable(alt for _, alt in found)), [len(alt) for _, alt in found], [s for s, _ in found], [np.inf] * len(found))
+            known = self.others[number, n] = [(top - s, base + k) for k, (s, _) in enumerate(found)]
+        return known
+
+    def _options(self, num: np.ndarray, gaps: np.ndarray, a: int, b: int, n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+        """Of a text's n best: what each loses, and (place, rank) of the chunks that are not as in the best.
+
+        Of the n best sums only the n - 1 chunks with the smallest gaps leave their best.
+        """
+        sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+        if n == 1 or a == b:
+            return sums
+        own, most = gaps[a:b], min(n - 1, b - a)
+        worst = min(float(np.partition(own, most - 1)[most - 1]), 1e300)
+        near = np.flatnonzero(own <= worst)
+        near = np.sort(near[np.argsort(own[near], kind="stable")][:most])
+        for k in near.tolist():
+            choices = self._alternatives(int(num[a + k]), n)
+            sums = heapq.nsmallest(n, [(lost + more, (*picks, (a + k, rank)) if rank else picks) for lost, picks in sums for rank, (more, _) in enumerate(choices)])
+        return sums
 
     def split_marked(self, text: str) -> list[str]:
         """`split`, with the marks that the text itself holds as chunks named OWN_MARK."""
@@ -312,110 +426,67 @@ class Codec:
             out += [OWN_MARK, *here] if k else here
         return out
 
-    def _encoded(self, chunks: list[str], n: int) -> Encoded:
-        if not chunks:
-            return Encoded([], [0.0], [()], [])
-        known = self.chunks
-        try:
-            found = [known[c] for c in chunks]
-        except KeyError:
-            found = [self._spelt(MARK) if c == OWN_MARK else self.found(c) for c in chunks]
-        ids = list(itertools.chain.from_iterable([f[0] for f in found]))
-        total = float(sum([f[1] for f in found]))
-        if n == 1:
-            return Encoded(ids, [total], [()], found)
-        # of the n best sums only the n - 1 chunks with the smallest gaps leave their best
-        gaps = [f[2] for f in found]
-        worst = min(sorted(gaps)[: n - 1][-1], 1e300)
-        near = sorted(sorted([k for k, g in enumerate(gaps) if g <= worst], key=gaps.__getitem__)[: n - 1])
-        sums: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
-        for k in near:
-            options = [(found[k].score - s, alt) for s, alt in self.n_best(self._text_of(found[k].ids), n)]
-            sums = heapq.nsmallest(n, [(lost + own, (*picks, (k, alt))) for lost, picks in sums for own, alt in options])
-        return Encoded(ids, [total - lost for lost, _ in sums], [picks for _, picks in sums], found)
-
-    def _text_of(self, ids: tuple[int, ...]) -> str:
+    def _text_of(self, ids) -> str:
         return "".join([self.v.pieces[i] for i in ids])
 
+    def spoken(self, ids: list[int]) -> bytes:
+        """The UTF-8 bytes that the ids stand for, behind the blank that encoding put before the text."""
+        return b"".join(map(self.said.__getitem__, ids))[1:]
+
     def decode(self, ids: list[int]) -> str:
         """The text whose segmentation the ids are."""
-        if not ids:
-            return ""
-        if self.high_bytes.isdisjoint(ids):
-            return "".join([self.texts[i] for i in ids])[1:]
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                raw.append(self.of_byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(self.v.pieces[i].replace(MARK, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out)[1:]
-
-
-_codecs: dict[int, Codec] = {}
-
-
-def _codec(held) -> Codec:
-    """One codec for each broadcast vocabulary and worker."""
-    key = id(held.value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(held.value)
-    return _codecs[key]
+        return self.spoken(ids).decode("utf-8", "replace")
 
 
 def encoded(docs: DataFrame, model: str = MODEL, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its id, the ids of the best segmentation, the scores, piece counts and ids of the n best, and whether decoding gives the text back."""
+    """For each row its id, piece count and score of the best segmentation, scores and ids of the n best (the best first), and whether decoding the best gives the text back."""
     common.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # as large as the model
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch) -> dict:
-        codec = _codec(held)
-        ts = batch.column("t").to_pylist()
-        out = codec.encode_all(ts, n)
-        lens = np.array([len(o.ids) if o else 0 for o in out])
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32), mask=np.array([*(o is None for o in out), False]))
-        every = [o.segmentations() if o else None for o in out]
-        one = [s for e in every if e for s in e]
-        starts = np.concatenate([[0], np.cumsum([len(s) for s in one])]).astype(np.int32)
-        firsts = pa.array(np.concatenate([[0], np.cumsum([len(e) if e else 0 for e in every])]).astype(np.int32), mask=np.array([*(o is None for o in out), False]))
-        pieces = np.fromiter(itertools.chain.from_iterable(one), dtype=np.int32, count=int(starts[-1]))
-        flat = np.fromiter(itertools.chain.from_iterable([o.ids for o in out if o]), dtype=np.int32, count=int(lens.sum()))
-        return {
-            "doc_id": batch.column("id"),
-            "n_pieces": [None if o is None else len(o.ids) for o in out],
-            "score": [None if o is None else o.scores[0] for o in out],
-            "nbest_scores": [None if o is None else o.scores for o in out],
-            "nbest_pieces": [None if o is None else o.sizes() for o in out],
-            "round_trip": [None if o is None else codec.decode(o.ids) == t for o, t in zip(out, ts, strict=True)],
-            "ids": pa.ListArray.from_arrays(offsets, pa.array(flat)),
-            "nbest_ids": pa.ListArray.from_arrays(firsts, pa.ListArray.from_arrays(pa.array(starts), pa.array(pieces))),
-        }
+    def start():
+        codec = Codec(held.value)  # lives as long as the task, so that a worker that is used again starts empty
+
+        def run(batch: pa.RecordBatch) -> dict:
+            ts = batch.column("t").to_pylist()
+            out = codec.encode_all(ts, n)
+            null = np.array([t is None for t in ts])
+            firsts = pa.array(out.first.astype(np.int32), mask=np.append(null, False))
+            every = pa.ListArray.from_arrays(pa.array(out.starts.astype(np.int32)), pa.array(out.ids))
+            best = pa.array(np.minimum(out.first[:-1], max(0, len(every) - 1)), mask=null)
+            sizes = pa.array(np.diff(out.starts).astype(np.int32))
+            same = [None if t is None else codec.spoken(out.ids[out.starts[k] : out.starts[k + 1]].tolist()) == t.encode("utf-8", "surrogatepass") for t, k in zip(ts, out.first.tolist(), strict=False)]
+            return {
+                "doc_id": batch.column("id"),
+                "n_pieces": sizes.take(best),
+                "score": pa.array(out.scores, type=pa.float64()).take(best),
+                "nbest_scores": pa.ListArray.from_arrays(firsts, pa.array(out.scores, type=pa.float64())),
+                "round_trip": same,
+                "nbest_ids": pa.ListArray.from_arrays(firsts, every),
+            }
+
+        return run
 
     return common.mapped(
         docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as t"),
-        run,
-        f"doc_id {kind}, n_pieces bigint, score double, nbest_scores array<double>, nbest_pieces array<int>, round_trip boolean, ids array<int>, nbest_ids array<array<int>>",
+        start,
+        f"doc_id {kind}, n_pieces bigint, score double, nbest_scores array<double>, round_trip boolean, nbest_ids array<array<int>>",
+        TEXT_BYTES,
+        per_task=True,
     )
 
 
-def decoded(df: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """For each row its id and the text of its ids."""
+def decoded(df: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "nbest_ids[0]") -> DataFrame:
+    """For each row its id and the text of its ids (ids_col: an expression)."""
     common.small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch) -> dict:
-        codec = _codec(held)
-        return {"doc_id": batch.column("id"), "text": [None if ids is None else codec.decode(ids) for ids in batch.column("ids").to_pylist()]}
+    def start():
+        codec = Codec(held.value)
+        return lambda batch: {"doc_id": batch.column("id"), "text": [None if ids is None else codec.decode(ids) for ids in batch.column("ids").to_pylist()]}
 
-    return common.mapped(df.selectExpr(f"`{id_col}` as id", f"`{ids_col}` as ids"), run, f"doc_id {kind}, text string")
+    return common.mapped(df.selectExpr(f"`{id_col}` as id", f"{ids_col} as ids"), start, f"doc_id {kind}, text string", per_task=True)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,5 +494,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: piece ids of each document, and the scores and ids of its n best segmentations."""
-    return encoded(docs).select("doc_id", "n_pieces", "score", "round_trip", "ids", "nbest_scores", "nbest_ids")
+    """Last pipeline stage: the scores and piece ids of each document's n best segmentations."""
+    return encoded(docs)

@@ -287,7 +287,7 @@ def test_n_best_equals_brute_force(codec):
         assert codec.best(chunk).gap == every[0] - every[1]
         one = sentencepiece_codec.Codec(codec.v)
         one.best_many([chunk])
-        assert one.chunks[chunk] == codec.best(chunk)
+        assert one.remembered(chunk) == codec.best(chunk)
 
 
 def test_n_best_of_a_text(codec):
@@ -307,7 +307,7 @@ def test_decoding_gives_texts_back(codec):
 def test_sentencepiece_edges(spark):
     docs = cases.documents(spark)
     rows = sentencepiece_codec.encoded(docs).collect()
-    assert len(rows) == docs.count() and all(r["round_trip"] for r in rows if r["ids"] is not None)
+    assert len(rows) == docs.count() and all(r["round_trip"] for r in rows if r["nbest_ids"] is not None)
     assert sentencepiece_codec.encoded(cases.empty(spark)).count() == 0
     back = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs)).collect()}
     assert back[13] == cases.texts()[13] and back[0] is None

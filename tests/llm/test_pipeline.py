@@ -17,7 +17,7 @@ def test_pipeline_equals_plain_version(spark, sf_dir):
     rows = [(i, pii.redact(t, pii.find(t))) for i, t in rows if not found[i][4]]
     codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load(sentencepiece_codec.MODEL))
     want = {i: codec.encode(t).ids for i, t in rows}
-    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    got = {r["doc_id"]: r["nbest_ids"][0] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == want and 0 < len(got) < docs.count()
 
 
