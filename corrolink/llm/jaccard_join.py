@@ -7,8 +7,8 @@ share prefix tokens under two further orders before its sets are held against ea
 
 Which shingles are shared is counted exactly over one document of each class: tasks send sorted,
 packed hashes to ranges of the hash space, each range is sorted and its repeated hashes are marked in a
-bitmap of BITMAP_BITS bits, addressed by the hashes' upper bits. Any order gives right results, so a
-full bitmap costs time alone.
+bitmap, sized from the number of shingles up to 2^MOST_BITS bits and addressed by the hashes' upper bits.
+Any order gives right results, so a full bitmap costs time alone.
 
 Pairs are not listed within groups of near copies: in each prefix list the member with the most room
 leads, all others are held against it, and the linked ones become a component. Then only pairs of
@@ -24,6 +24,7 @@ looked at. Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,8 @@ from .components import components
 N = 3
 PERCENT = 90
 ORDERS = 3
-BITMAP_BITS = 28
+#: Bits of the bitmap: about SLOTS for each shingle, within these powers of two.
+SLOTS, LEAST_BITS, MOST_BITS = 2, 16, 28
 #: Shingles that one range of the hash space has about.
 RANGE_SHINGLES = 2_000_000
 
@@ -93,13 +95,14 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def shared_bitmap(docs: DataFrame, members: DataFrame, n: int = N) -> np.ndarray:
-    """Bitmap of the shingles that more than one class holds; 2^BITMAP_BITS bits, whatever the data."""
+    """Bitmap of the shingles that more than one class holds; 2^MOST_BITS bits at most."""
     common.small_batches(docs.sparkSession)
     first = members.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = common.written(members.join(first, "key").where("doc_id > first").select("doc_id").distinct(), "again")
     single = docs.join(common.checked(again), "doc_id", "left_anti")
     total = members.agg(F.sum("size")).first()[0] or 0
-    bits = min(BITMAP_BITS - 6, max(6, int(total / RANGE_SHINGLES).bit_length()))  # of the number of ranges
+    all_bits = min(MOST_BITS, max(LEAST_BITS, (SLOTS * total).bit_length()))
+    bits = min(all_bits - 6, max(6, int(total / RANGE_SHINGLES).bit_length()))  # of the number of ranges
     arrow = common.arrow_schema("r int, h binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +116,15 @@ def shared_bitmap(docs: DataFrame, members: DataFrame, n: int = N) -> np.ndarray
             rows = [(r, _pack(low[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], type=t) for k, t in enumerate(arrow.types)], schema=arrow)
 
-        for batch in batches:
+        for batch in common.by_bytes(batches, common.TEXT_BYTES):
             held += shingle_sets(common.texts(batch, "t"), n)
-            if sum(map(len, held)) > 2 * RANGE_SHINGLES:
+            if sum(map(len, held)) > RANGE_SHINGLES:
                 yield flush()
                 held.clear()
         if sum(map(len, held)):
             yield flush()
+        held.clear()
+        common.give_back()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -127,8 +132,8 @@ def shared_bitmap(docs: DataFrame, members: DataFrame, n: int = N) -> np.ndarray
         def flush() -> pa.RecordBatch:
             h = np.sort(np.concatenate(held))
             twice = h[1:][h[1:] == h[:-1]]
-            slots = np.zeros(1 << (BITMAP_BITS - bits), dtype=bool)
-            slots[twice >> np.uint32(32 - (BITMAP_BITS - bits))] = True
+            slots = np.zeros(1 << (all_bits - bits), dtype=bool)
+            slots[twice >> np.uint32(32 - (all_bits - bits))] = True
             return pa.RecordBatch.from_arrays([pa.array([last], type=arrow.types[0]), pa.array([np.packbits(slots, bitorder="little").tobytes()], type=arrow.types[1])], schema=arrow)
 
         for batch in batches:
@@ -140,17 +145,19 @@ def shared_bitmap(docs: DataFrame, members: DataFrame, n: int = N) -> np.ndarray
                 held.append(_unpack(data))
         if held:
             yield flush()
+        held = []
+        common.give_back()
 
     packed = single.selectExpr("text as t").mapInArrow(pack, "r int, h binary")
     marked = packed.repartition("r").sortWithinPartitions("r").mapInArrow(mark, "r int, h binary").toArrow()
-    out = np.zeros((1 << bits, 1 << (BITMAP_BITS - bits - 3)), dtype=np.uint8)
+    out = np.zeros((1 << bits, 1 << (all_bits - bits - 3)), dtype=np.uint8)
     for r, data in zip(marked["r"].to_pylist(), marked["h"], strict=True):
         out[r] = np.frombuffer(data.as_buffer(), dtype=np.uint8)
     return out.ravel()
 
 
 def is_shared(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = (tokens >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+    at = (tokens >> np.uint64(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -178,9 +185,9 @@ def further_prefix(s: np.ndarray, order: int, percent: int) -> np.ndarray:
 
 
 def postings(docs: DataFrame, seen: np.ndarray, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """(token, key, size, place, alone, s1, s2): the shared shingles in the first-order prefix of every set that can have a partner."""
+    """(token, key, size, place, alone, s1, s2): the shared shingles in the first-order prefix of every set that can have a partner; written."""
     common.small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(seen)  # 2^BITMAP_BITS bits, whatever the data
+    held = docs.sparkSession.sparkContext.broadcast(seen)  # 2^MOST_BITS bits at most
     nothing = np.zeros(0, dtype=np.int64)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -197,7 +204,10 @@ def postings(docs: DataFrame, seen: np.ndarray, percent: int = PERCENT, n: int =
                 cols["place"].append(alone + np.arange(len(front)))
         return {c: np.concatenate(v) for c, v in cols.items()}
 
-    return common.mapped(docs.selectExpr("text as t"), run, "token bigint, key bigint, size bigint, place bigint, alone bigint, s1 bigint, s2 bigint")
+    found = common.mapped(docs.selectExpr("text as t"), run, "token bigint, key bigint, size bigint, place bigint, alone bigint, s1 bigint, s2 bigint")
+    out = common.written(found, "postings")
+    held.destroy()
+    return out
 
 
 def can_link(a: str, b: str, percent: int = PERCENT) -> Column:
@@ -255,7 +265,7 @@ def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT,
 
     members: (doc_id, key, size) as `classes` gives it.
     """
-    lists = common.written(postings(docs, shared_bitmap(docs, members, n), percent, n), "postings")
+    lists = postings(docs, shared_bitmap(docs, members, n), percent, n)
     about = ["key", "size", "place", "alone", "s1", "s2"]
     leaders = (
         lists.groupBy("token")
@@ -263,7 +273,8 @@ def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT,
         .where("lo <> hi")
         .select("token", *[F.col(f"lead.{c}").alias(f"l_{c}") for c in about])
     )
-    shared = common.written(lists.join(leaders, "token").distinct(), "shared")
+    # leaders are written first, so that Spark can split a token's list in the join
+    shared = common.written(lists.distinct().join(common.written(leaders, "leaders"), "token"), "shared")
     named = shared.withColumnsRenamed({c: f"m_{c}" for c in about})
     star = common.written(named.where("l_key <> m_key").where(can_link("l", "m", percent)).select(F.least("l_key", "m_key").alias("a"), F.greatest("l_key", "m_key").alias("b")).distinct(), "star")
     keys = common.written(shared.select("key").distinct(), "keys")
@@ -280,9 +291,12 @@ def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT,
         .where("parts > 1").select("token", F.col("most.component").alias("major"))
     )
     open_lists = common.written(placed.join(largest, "token"), "open")
-    left, right = _side(open_lists.where("component <> major"), "m"), _side(open_lists, "o")
+    # a list is split by size: linked sizes are within a factor of percent / 100, so in the same or the next bucket of this width
+    bucket = F.floor(F.log(F.col("size")) / max(1e-3, 1.0001 * math.log(100 / percent)))
+    left = _side(open_lists.where("component <> major").withColumn("bucket", bucket), "m")
+    right = _side(open_lists.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))), "o")
     differ = (F.col("m_component") != F.col("o_component")) & ((F.col("o_component") == F.col("o_major")) | (F.col("m_key") < F.col("o_key")))
-    met = left.join(right, (left["token"] == right["token"]) & differ & can_link("m", "o", percent)).select(F.least("m_key", "o_key").alias("a"), F.greatest("m_key", "o_key").alias("b")).distinct()
+    met = left.join(right, (left["token"] == right["token"]) & (F.col("m_bucket") == F.col("o_bucket")) & differ & can_link("m", "o", percent)).select(F.least("m_key", "o_key").alias("a"), F.greatest("m_key", "o_key").alias("b")).distinct()
     across = common.written(verified(common.written(met.join(star, ["a", "b"], "left_anti"), "across"), sets, percent), "links")
     every = links.unionByName(across)
     return components(every.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")

@@ -90,18 +90,18 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
     return linear.train(data, y[0], params)
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], bits: int = PARAMS.bits) -> DataFrame:
-    """The columns `keep` of docs and the score of the whole text of each row."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], bits: int = PARAMS.bits, score: str = "_score") -> DataFrame:
+    """The columns `keep` of docs and the score of the whole text of each row, in a column named `score`."""
     common.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits floats, whatever the data
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batch: pa.RecordBatch) -> dict:
         weights, bias = held.value
         rows = all_features(common.texts(batch, "text"), bits)
-        return {c: batch.column(c) for c in keep} | {"_score": linear.score(rows, weights, bias)}
+        return {c: batch.column(c) for c in keep} | {score: linear.score(rows, weights, bias)}
 
-    return common.mapped(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{kinds}, _score double")
+    return common.mapped(docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "text"])]), run, f"{kinds}`{score}` double")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +114,5 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go; it learns from the labels of the documents given."""
     model = train(docs, common.table(spark, sf_dir, "labels"))
-    return scored(docs, model, docs.columns).where(F.col("_score") >= CUT).select(*docs.columns)
+    score = common.fresh(docs, "_score")
+    return scored(docs, model, docs.columns, score=score).where(F.col(score) >= CUT).select(*[f"`{c}`" for c in docs.columns])

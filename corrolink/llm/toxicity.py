@@ -2,7 +2,7 @@
 
 Features of a whole text: its different words and the first 4 to 8 bytes of each, lower-cased, hashed;
 each counts once. In training the probabilities that a model sees are out-of-fold: those of a model
-that has not seen the row. Training takes a bounded sample (TRAIN_ROWS) of the labelled rows whose
+that has not seen the row, nor have its features and categories been chosen by it. Training takes a bounded sample (TRAIN_ROWS) of the labelled rows whose
 crc32(doc_id) mod 5 is not 0. The table has one label, toxic; the categories before it are drawn from
 the sample's toxic rows: `insult` holds a feature that stands in toxic rows nearly alone, `severe` at
 least SEVERE_HITS of them.
@@ -39,7 +39,7 @@ def all_features(texts: list[str], bits: int = PARAMS.bits) -> list[linear.Row]:
     size = np.uint64((1 << bits) - RESERVED)
     parts: list[list[np.ndarray]] = [[] for _ in texts]
     for data, starts, ends, of in words.pieces([t.lower() for t in texts], SEPARATORS):
-        h = words.hash_words(data, starts, ends, SEPARATORS)
+        h = words.hash_words(data, starts, ends)
         cuts = np.searchsorted(of, np.arange(of[0], of[-1] + 2)) if len(of) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a < b:
@@ -73,25 +73,34 @@ class Chain:
         extra = top - np.arange(len(earlier))
         return [(np.concatenate([i, extra]), np.concatenate([v, [p[k] for p in earlier]])) for k, (i, v) in enumerate(rows)] if earlier else rows
 
-    def fit(self, rows: list[linear.Row], y: np.ndarray, folds: int = FOLDS) -> Chain:
+    def _telling(self, rows: list[linear.Row], y: np.ndarray) -> np.ndarray:
+        """Which features are among the KEEP that tell most about any of the categories (by chi-square)."""
+        told = np.max([chi_square(rows, labels, self.params.bits) for labels in y], axis=0)
+        least = max(np.partition(told, -KEEP)[-KEEP], 1e-9) if len(told) > KEEP else 1e-9
+        return told >= least
+
+    def fit(self, rows: list[linear.Row], y: np.ndarray, folds: int = FOLDS, draw=None) -> Chain:
         """y: one row of labels for each category. Later categories learn from out-of-fold probabilities.
 
-        It learns from the KEEP features that tell most about any of the categories (by chi-square).
+        draw: gives the labels of some rows from those rows and their last labels alone, so that a fold's
+        labels, and the features that are kept for it, are not drawn with the rows that it leaves out.
         """
-        told = np.max([chi_square(rows, labels, self.params.bits) for labels in y], axis=0)
-        least = max(np.partition(told, -KEEP)[-KEEP], 1e-9) if len(told) > KEEP else 1e-9
-        rows = [(i[k], v[k]) for i, v in rows for k in [told[i] >= least]]
+        only = lambda telling, some: [(i[telling[i]], v[telling[i]]) for i, v in some]
+        fold, inner = np.arange(len(rows)) % folds, []
+        for f in range(folds):
+            inside = np.flatnonzero(fold != f)
+            own = [rows[i] for i in inside]
+            labels = draw(own, y[-1][inside]) if draw else y[:, inside]
+            inner.append((inside, np.flatnonzero(fold == f), labels, self._telling(own, labels)))
+        rows, source = only(self._telling(rows, y), rows), rows
         earlier: list[np.ndarray] = []
-        fold = np.arange(len(rows)) % folds
         for k in range(len(self.categories)):
-            seen = self._with(rows, earlier)
-            self.models.append(linear.train(seen, y[k], self.params))
+            self.models.append(linear.train(self._with(rows, earlier), y[k], self.params))
             if k + 1 < len(self.categories):
                 out = np.zeros(len(rows))
-                for f in range(folds):
-                    inside, left = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                    model = linear.train([seen[i] for i in inside], y[k][inside], self.params)
-                    out[left] = linear.score([seen[i] for i in left], *model)
+                for inside, left, labels, telling in inner:
+                    part = lambda at: self._with(only(telling, [source[i] for i in at]), [p[at] for p in earlier])  # noqa: B023, E731
+                    out[left] = linear.score(part(left), *linear.train(part(inside), labels[k], self.params))
                 earlier.append(out)
         return self
 
@@ -118,7 +127,7 @@ def drawn_categories(rows: list[linear.Row], toxic: np.ndarray, bits: int = PARA
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, params: linear.Params = PARAMS) -> Chain:
     common.small_batches(docs.sparkSession)
     data, y, _ = training_rows(docs, sampled_labels(labels, "toxic", rows), lambda t: all_features(t, params.bits))
-    return Chain(CATEGORIES, params).fit(data, drawn_categories(data, y[0], params.bits))
+    return Chain(CATEGORIES, params).fit(data, drawn_categories(data, y[0], params.bits), draw=lambda rows, toxic: drawn_categories(rows, toxic, params.bits))
 
 
 def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id") -> DataFrame:

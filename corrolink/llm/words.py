@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes that are looked at together; longer input is cut at a separator.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.cumprod(np.full(256, _STEP))
+#: The lowest bytes of a number, by how many of them there are.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Words of up to so many bytes are hashed eight bytes at a time, all words together; longer ones by themselves.
+_SHORT = 64
 
 
 def separators(chars: bytes) -> np.ndarray:
@@ -52,13 +53,6 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        _powers = np.cumprod(np.full(2 * n, _STEP))
-    return _powers
-
-
 def word_bounds(data: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in bytes."""
     inside = ~sep[data]
@@ -70,18 +64,37 @@ def word_bounds(data: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return edge[::2], edge[1::2]
 
 
-def _sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Polynomial sums of consecutive groups; no group is empty."""
-    first = np.cumsum(lens) - lens
-    pos = np.arange(len(values)) - np.repeat(first, lens)
-    return np.add.reduceat(_BYTE[values] * _power(int(lens.max()))[pos], first)
+def _key(place) -> np.ndarray:
+    """What makes equal bytes at different places of a word count differently."""
+    return mix((np.atleast_1d(np.asarray(place, dtype=np.uint64)) + np.uint64(1)) * _STEP)
+
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data),), dtype="<u8", buffer=padded, strides=(1,))
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sep: np.ndarray) -> np.ndarray:
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; none is empty. Every eight bytes go through the finaliser with a key of
+    their place, and the sum with the length goes through it again, so no family of texts is known to meet."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    lens = ends - starts
-    return mix(_sums(data[~sep[data]], lens) + lens.astype(np.uint64))
+    lens, view = ends - starts, _eights(data)
+    acc = mix((view[starts] & _MASK[np.minimum(lens, 8)]) + _key(0))
+    for k in range(1, _SHORT // 8):
+        more = np.flatnonzero(lens > 8 * k)
+        if not len(more):
+            break
+        acc[more] += mix((view[starts[more] + 8 * k] & _MASK[np.minimum(lens[more] - 8 * k, 8)]) + _key(k))
+    for i in np.flatnonzero(lens > _SHORT).tolist():
+        at = np.arange(_SHORT, int(lens[i]), 8)
+        acc[i] += np.add.reduce(mix((view[starts[i] + at] & _MASK[np.minimum(lens[i] - at, 8)]) + _key(at >> 3)))
+    return mix(acc + lens.astype(np.uint64) * _STEP)
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hash_spans(data, starts, ends)
 
 
 def hash_shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sep: np.ndarray) -> np.ndarray:
@@ -95,20 +108,15 @@ def hash_shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sep: np.
     new[1:] = kinds[1:] != kinds[:-1]
     new[first] = True
     lens = np.add.reduceat(new.astype(np.int64), first)
-    return mix(_sums(kinds[new], lens) + lens.astype(np.uint64) * np.uint64(3))
+    at = np.cumsum(lens) - lens
+    return mix(hash_spans(kinds[new], at, at + lens) + np.uint64(3))
 
 
 def hash_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
-    """(words x sizes): hash of the first bytes of each word; a word that is shorter gives its whole with another size's mark."""
-    out = np.zeros((len(starts), len(sizes)), dtype=np.uint64)
-    acc = np.zeros(len(starts), dtype=np.uint64)
-    power = _power(max(sizes))
-    for i in range(max(sizes)):
-        here = starts + i < ends
-        acc[here] += _BYTE[data[starts[here] + i]] * power[i]
-        if i + 1 in sizes:
-            out[:, sizes.index(i + 1)] = mix(acc + np.uint64((i + 1) << 40))
-    return out
+    """(words x sizes): hash of the first bytes (eight at most) of each word, with a mark of the size."""
+    lens = np.minimum(ends - starts, 8)
+    front = _eights(data)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
+    return np.stack([mix((front & _MASK[np.minimum(lens, size)]) + _key(1 << 20 | size)) for size in sizes], axis=1)
 
 
 def pieces(texts: list[str], sep: np.ndarray, lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -135,7 +143,7 @@ def pieces(texts: list[str], sep: np.ndarray, lower: bool = False) -> Iterator[t
 
 def by_text(texts: list[str], sep: np.ndarray = SPACE, lower: bool = False, shapes: bool = False) -> list[tuple[np.ndarray, ...]]:
     """For each text the hashes of its words, and with shapes those of their shapes too."""
-    found = [(hash_words(d, s, e, sep), *([hash_shapes(d, s, e, sep)] if shapes else []), of) for d, s, e, of in pieces(texts, sep, lower)]
+    found = [(hash_words(d, s, e), *([hash_shapes(d, s, e, sep)] if shapes else []), of) for d, s, e, of in pieces(texts, sep, lower)]
     if not found:
         return [tuple(np.zeros(0, dtype=np.uint64) for _ in range(1 + shapes)) for _ in texts]
     cols = [np.concatenate(c) for c in zip(*found, strict=True)]
