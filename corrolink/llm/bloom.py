@@ -1,4 +1,4 @@
-"""Bloom filters of fixed size over hashed 64-bit values: filled by Spark, asked in Python workers."""
+"""Bloom filters over hashed 64-bit values, sized from their count: filled by Spark, asked in Python workers."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 26
+#: Bits for each value, and the least and most bits of a filter. A full filter lets more through and loses nothing.
+BITS_A_VALUE, LEAST_BITS, MOST_BITS = 12, 1 << 16, 1 << 30
 
 
-def build(df: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """The filter of a column of hashes; at most bits / 64 words come to the driver, whatever the data."""
+def build(df: DataFrame, column: str) -> np.ndarray:
+    """The filter of a written column of different hashes; at most MOST_BITS / 64 words come to the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_VALUE * df.count()).bit_length()))
     places = F.explode(F.array(F.col(column).bitwiseAND(bits - 1), F.shiftrightunsigned(column, 30).bitwiseAND(bits - 1)))
     marked = df.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)

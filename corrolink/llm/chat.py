@@ -24,8 +24,6 @@ Template = Callable[[list[Turn]], str]
 
 # The marks of the built-in template.
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Of an additive template, up to so many turns every prefix is rendered whole; later turns are rendered behind the last so many.
-WINDOW = 512
 
 
 def escape(text: str) -> str:
@@ -44,7 +42,7 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}" for role, text in turns)
 
 
-chatml.additive = True  # a turn's part depends on that turn alone
+chatml.extend = lambda turns, i: chatml(turns[i : i + 1])  # a turn's part depends on that turn alone
 
 
 class Rendered(NamedTuple):
@@ -53,22 +51,26 @@ class Rendered(NamedTuple):
     rewritten_at: int | None  # the first turn after which earlier output was no longer a prefix
 
 
-def render(template: Template, turns: list[Turn], window: int = WINDOW) -> Rendered:
+def render(template: Template, turns: list[Turn], window: int | None = None) -> Rendered:
     """Render prefix after prefix. A turn's span is what its prefix adds to the one before it.
 
     Where a template rewrites history, spans are those of the final output as far as it agrees with
     the prefix outputs, and empty beyond; rewritten_at says which turn did it.
-    True prefixes are rendered, which takes time by the square of the turns; only of a template that is
-    declared additive (its attribute `additive`), a turn's part beyond `window` turns is found behind the
-    last `window` turns, and all parts together are held against the rendering of the whole.
+    A template may say itself what a turn adds (its attribute `extend`: the longer prefix's output from the
+    shorter one's); every prefix is then extended instead of rendered anew, and the last one is held against
+    the rendering of the whole. Of other templates all prefixes are rendered, which takes time by the square
+    of the turns. `window`, off unless given, renders no more than the last so many turns for each prefix:
+    only for templates in which a turn's part does not depend on what stands further back.
     """
-    additive = getattr(template, "additive", False)
+    extend = getattr(template, "extend", None)
     whole = template(turns)
     spans: list[tuple[int, int]] = []
     before, at, rewritten = template([]), 0, None
     at = len(before) if whole.startswith(before) else 0
     for i in range(len(turns)):
-        if i < window or not additive:
+        if extend:
+            added, grown = extend(turns, i), True
+        elif window is None or i < window:
             now = template(turns[: i + 1])
             grown = now.startswith(before)
             added = now[len(before) :] if grown else ""

@@ -8,12 +8,15 @@ start) stays for further comparison and all others are repeats whole. The first
 PARTS parts by the windows' places around the anchor; windows of one part share a core of bytes, and
 parts are dealt out by the hash of that core. Each task then sorts the suffixes of its parts with the
 difference cover of 3 (sampled triples are named, the names are sorted by recursion, the other suffixes
-are merged in) and compares the first 100 bytes of neighbours in the order.
+are merged in) and compares the first 100 bytes of neighbours in the order. The contexts of a gram that has
+more than HOT_CONTEXTS of them are cut into single windows, which are gathered by the window's hash and the
+first of each kept, so that no core fills a task.
 
 Cases at the edge: a null text is empty; texts of less than 100 bytes lose nothing; rows that share a
-doc_id count as one document for "earlier", and equal rows give equal results; a null doc_id comes
-before all others; an empty table gives an empty result; other columns are not looked at. Grams, cores
-and contexts are told apart by 64-bit hashes; windows are compared by their bytes.
+doc_id but not a text go by the text's digest; equal rows count as one and give equal results; a null
+doc_id comes before all others; an empty table gives an empty result; other columns are not looked at.
+Contexts are told apart by two hashes (of the gram and of the whole), the windows of hot grams by 128 bits,
+grams and cores by 64-bit hashes; all other windows are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -34,7 +37,11 @@ K = 50
 PARTS = 4
 #: Bytes of parts whose suffixes one array holds, unless a single core has more.
 ARRAY_BYTES = 1 << 20
+#: Different contexts of one gram that are still sorted in one array.
+HOT_CONTEXTS = 20_000
 NO_ID = -(1 << 63)
+#: What tells rows apart, in their order.
+ROW = ["id", "digest"]
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -146,7 +153,7 @@ def _signed(h) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, repeated: np.ndarray | None) -> DataFrame:
-    """Without a filter: (gram) of every anchor. With the filter of repeated grams: (gram, class, id, place, first, last) of theirs.
+    """Without a filter: (gram) of every anchor. With the filter of repeated grams: (gram, class, id, digest, place, first, last) of theirs.
 
     A class is the hash of gram, the windows' places around it, and the context's bytes. A text that a stretch
     parts gives contexts that are parted there, which changes classes but no window.
@@ -159,8 +166,8 @@ def occurrences(docs: DataFrame, repeated: np.ndarray | None) -> DataFrame:
         return {"gram": _signed(np.concatenate(found)) if found else []}
 
     def those_repeated(batch: pa.RecordBatch) -> dict:
-        cols: dict[str, list] = {c: [] for c in ("gram", "class", "id", "place", "first", "last")}
-        for b, i in zip(_raw(batch), batch.column("id").to_numpy(zero_copy_only=False), strict=True):
+        cols: dict[str, list] = {c: [] for c in ("gram", "class", "id", "digest", "place", "first", "last")}
+        for b, i, d in zip(_raw(batch), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ROW), strict=True):
             h, place, first, last = anchors(b)
             own = np.flatnonzero(bloom.holds(held.value, h)) if len(h) else []
             if len(own):
@@ -168,6 +175,7 @@ def occurrences(docs: DataFrame, repeated: np.ndarray | None) -> DataFrame:
                 cols["gram"].append(h)
                 cols["class"].append(_class_hashes(b, h, place, first, last))
                 cols["id"].append(np.full(len(own), i))
+                cols["digest"].append(np.full(len(own), d))
                 for c, v in (("place", place), ("first", first), ("last", last)):
                     cols[c].append(v)
         out = {c: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for c, v in cols.items()}
@@ -175,7 +183,7 @@ def occurrences(docs: DataFrame, repeated: np.ndarray | None) -> DataFrame:
 
     if held is None:
         return common.mapped(docs.select("t"), all_grams, "gram bigint")
-    return common.mapped(docs, those_repeated, "gram bigint, class bigint, id bigint, place int, first int, last int")
+    return common.mapped(docs, those_repeated, "gram bigint, class bigint, id bigint, digest bigint, place int, first int, last int")
 
 
 def _class_hashes(b: np.ndarray, h: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -185,18 +193,18 @@ def _class_hashes(b: np.ndarray, h: np.ndarray, place: np.ndarray, first: np.nda
 
 
 def core_parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(core, id, start, windows, data): the parts of the wanted occurrences' contexts.
+    """(core, id, digest, start, windows, data): the parts of the wanted occurrences' contexts.
 
-    wanted: (id, first, last, place). start is where the part's first window starts, windows how many it has.
+    wanted: (id, digest, first, last, place). start is where the part's first window starts, windows how many it has.
     """
-    spots = wanted.groupBy("id").agg(F.collect_list(F.struct("place", "first", "last")).alias("spots"))
-    ids = common.checked(common.written(wanted.select("id").distinct(), "ids"))
-    joined = docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(spots, "id")
+    spots = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("place", "first", "last")).alias("spots"))
+    ids = common.checked(common.written(wanted.select(*ROW).distinct(), "ids"))
+    joined = docs.join(ids, ROW, "left_semi").dropDuplicates(ROW).join(spots, ROW)
     step = -(-(LENGTH - K + 1) // PARTS)
 
     def run(batch: pa.RecordBatch) -> dict:
-        cols: dict[str, list] = {c: [] for c in ("core", "id", "start", "windows", "data")}
-        for b, i, own in zip(_raw(batch), batch.column("id").to_pylist(), batch.column("spots").to_pylist(), strict=True):
+        cols: dict[str, list] = {c: [] for c in ("core", "id", "digest", "start", "windows", "data")}
+        for b, i, d, own in zip(_raw(batch), *(batch.column(c).to_pylist() for c in (*ROW, "spots")), strict=True):
             raw = b.tobytes()
             for s in own:
                 x, first, last = s["place"], s["first"], s["last"]
@@ -206,16 +214,34 @@ def core_parts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         core = raw[x - part * step : x - part * step - step + 1 + LENGTH]
                         cols["core"].append(xxhash.xxh3_64_intdigest(core, part) - (1 << 63))
                         cols["id"].append(i)
+                        cols["digest"].append(d)
                         cols["start"].append(a)
                         cols["windows"].append(z - a + 1)
                         cols["data"].append(raw[a : z + LENGTH])
         return cols
 
-    return common.mapped(joined.select("id", "t", "spots"), run, "core bigint, id bigint, start int, windows int, data binary")
+    return common.mapped(joined.select(*ROW, "t", "spots"), run, "core bigint, id bigint, digest bigint, start int, windows int, data binary")
 
 
-def repeats_in(ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, data: list[bytes]) -> list[tuple[int, int, int]]:
-    """(id, first, last): runs of window starts that an earlier window in the parts equals, by a suffix array over all parts."""
+def hot_windows(parts: DataFrame) -> DataFrame:
+    """(id, digest, first, last): windows of the parts that an earlier window equals, by the hashes of single windows."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        cols: dict[str, list] = {c: [] for c in ("w1", "w2", "id", "digest", "start")}
+        for i, d, start, windows, data in zip(*(batch.column(c).to_pylist() for c in (*ROW, "start", "windows", "data")), strict=True):
+            for k in range(windows):
+                h = xxhash.xxh3_128_intdigest(data[k : k + LENGTH])
+                for c, v in zip(cols, ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), i, d, start + k), strict=True):
+                    cols[c].append(v)
+        return cols
+
+    own = common.written(common.mapped(parts.drop("core"), run, "w1 bigint, w2 bigint, id bigint, digest bigint, start int"), "hot-windows")
+    heads = common.written(own.groupBy("w1", "w2").agg(F.min(F.struct(*ROW, "start")).alias("head")), "hot-heads")
+    return own.join(heads, ["w1", "w2"]).where(F.struct(*ROW, "start") > F.col("head")).select(*ROW, F.col("start").alias("first"), F.col("start").alias("last"))
+
+
+def repeats_in(ids: np.ndarray, digests: np.ndarray, starts: np.ndarray, windows: np.ndarray, data: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """(id, digest, first, last): runs of window starts that an earlier window in the parts equals, by a suffix array over all parts."""
     text = np.frombuffer(b"".join(data), dtype=np.uint8)
     lens = np.array([len(d) for d in data])
     base = np.cumsum(lens) - lens
@@ -234,24 +260,24 @@ def repeats_in(ids: np.ndarray, starts: np.ndarray, windows: np.ndarray, data: l
         same[at:to] = (view[order[at - 1 : to - 1]] == view[order[at:to]]).all(axis=1)
     group = np.cumsum(~same)
     which = part[order]
-    doc, start = ids[which], starts[which] + (order - base[which])
-    by = np.lexsort((start, doc, group))
+    doc, text_of, start = ids[which], digests[which], starts[which] + (order - base[which])
+    by = np.lexsort((start, text_of, doc, group))
     later = np.concatenate([[False], group[by][1:] == group[by][:-1]])
-    doc, start, which = doc[by][later], start[by][later], which[by][later]
+    start, which = start[by][later], which[by][later]
     by = np.lexsort((start, which))
-    doc, start, which = doc[by], start[by], which[by]
+    start, which = start[by], which[by]
     if not len(by):
         return []
     new = np.concatenate([[True], (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)])
     heads = np.flatnonzero(new)
     tails = np.concatenate([heads[1:], [len(start)]]) - 1
-    return list(zip(doc[heads].tolist(), start[heads].tolist(), start[tails].tolist(), strict=True))
+    return list(zip(ids[which[heads]].tolist(), digests[which[heads]].tolist(), start[heads].tolist(), start[tails].tolist(), strict=True))
 
 
 def compared(parts: DataFrame) -> DataFrame:
-    """(id, first, last): repeated windows of the parts. Parts of one core meet in one task, sorted by core; arrays hold whole cores."""
-    dealt = parts.repartition("core").sortWithinPartitions("core", "id", "start")
-    schema = common.arrow_schema("id bigint, first int, last int")
+    """(id, digest, first, last): repeated windows of the parts. Parts of one core meet in one task, sorted by core; arrays hold whole cores."""
+    dealt = parts.repartition("core").sortWithinPartitions("core", *ROW, "start")
+    schema = common.arrow_schema("id bigint, digest bigint, first int, last int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -259,17 +285,17 @@ def compared(parts: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            ids, starts, windows, data = zip(*held, strict=True)
-            found = repeats_in(np.array(ids), np.array(starts), np.array(windows), list(data))
+            ids, digests, starts, windows, data = zip(*held, strict=True)
+            found = repeats_in(np.array(ids), np.array(digests), np.array(starts), np.array(windows), list(data))
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=t) for k, t in enumerate(schema.types)], schema=schema)
 
         last = None
         for batch in batches:
-            for core, *row in zip(*(batch.column(c).to_pylist() for c in ("core", "id", "start", "windows", "data")), strict=True):
+            for core, *row in zip(*(batch.column(c).to_pylist() for c in ("core", *ROW, "start", "windows", "data")), strict=True):
                 if core != last:
                     if len(group) > 1:  # a core that stands alone repeats nothing
                         held += group
-                        size += sum(len(r[3]) for r in group)
+                        size += sum(len(r[-1]) for r in group)
                         if size >= ARRAY_BYTES:
                             yield flush()
                             held, size = [], 0
@@ -279,33 +305,38 @@ def compared(parts: DataFrame) -> DataFrame:
             held += group
         if held:
             yield flush()
+        common.give_back()
 
-    return dealt.mapInArrow(run, "id bigint, first int, last int")
+    return dealt.mapInArrow(run, "id bigint, digest bigint, first int, last int")
 
 
-def removed_windows(docs: DataFrame) -> DataFrame:
-    """(id, first, last): runs of starts of windows that also start earlier. docs: (id, t)."""
+def removed_windows(docs: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+    """(id, digest, first, last): runs of starts of windows that also start earlier. docs: (id, digest, t)."""
     every = occurrences(docs, None)
-    repeated = bloom.build(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "gram")
-    found = common.written(occurrences(docs, repeated), "occurrences")
-    here = F.struct("id", "place")
-    classes = common.written(found.groupBy("class").agg(F.min("gram").alias("gram"), F.min(F.struct("id", "place", "first", "last")).alias("head")), "classes")
-    heads = classes.select("class", F.struct("head.id", "head.place").alias("at"))
-    whole = found.join(heads, "class").where(here > F.col("at")).select("id", "first", "last")
-    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    wanted = classes.join(several, "gram", "left_semi").select("head.*")
-    parts = core_parts(docs, common.written(wanted, "heads"))
-    return whole.unionByName(compared(parts))
+    again = common.written(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
+    found = common.written(occurrences(docs, bloom.build(again, "gram")), "occurrences")
+    here = F.struct(*ROW, "place")
+    classes = common.written(found.groupBy("gram", "class").agg(F.min(F.struct(*ROW, "place", "first", "last")).alias("head")), "classes")
+    heads = classes.select("gram", "class", F.struct(*[F.col(f"head.{c}").alias(c) for c in (*ROW, "place")]).alias("at"))
+    whole = found.join(heads, ["gram", "class"]).where(here > F.col("at")).select(*ROW, "first", "last")
+    several = common.written(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+
+    def parts(which: DataFrame) -> DataFrame:
+        return core_parts(docs, common.written(classes.join(which, "gram", "left_semi").select("head.*"), "heads"))
+
+    out = whole.unionByName(compared(parts(several.where(F.col("n") <= hot_contexts))))
+    hot = several.where(F.col("n") > hot_contexts)
+    return out if hot.isEmpty() else out.unionByName(hot_windows(parts(hot)))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every row: n_bytes, n_removed, n_spans, the removed byte spans, and the bytes that are left with their digest."""
     common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("bigint").alias("id"), F.col(text_col).alias("t"))
-    found = common.written(removed_windows(source), "ranges")
-    ids = common.checked(common.written(found.select("id").distinct(), "ids"))
-    ranges = found.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    row = [F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest")]
+    found = common.written(removed_windows(docs.select(*row, F.col(text_col).alias("t"))), "ranges")
+    ids = common.checked(common.written(found.select(*ROW).distinct(), "ids"))
+    ranges = found.groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def run(batch: pa.RecordBatch) -> dict:
         cols: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "removed", "kept", "kept_sha256")}
@@ -321,10 +352,10 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cols[c].append(v)
         return {"doc_id": batch.column("doc_id")} | cols
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row, F.col(text_col).alias("t"))
     # only texts that lose something travel to their runs
-    losing = rows.join(ids, "id", "left_semi").join(ranges, "id").select("doc_id", "t", "runs")
-    whole = rows.join(ids, "id", "left_anti").select("doc_id", "t", F.lit(None).cast(ranges.schema["runs"].dataType).alias("runs"))
+    losing = rows.join(ids, ROW, "left_semi").join(ranges, ROW).select("doc_id", "t", "runs")
+    whole = rows.join(ids, ROW, "left_anti").select("doc_id", "t", F.lit(None).cast(ranges.schema["runs"].dataType).alias("runs"))
     return common.mapped(losing.unionByName(whole), run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, removed array<struct<start:int,end:int>>, kept binary, kept_sha256 string")
 
 
