@@ -41,7 +41,7 @@ N = 3
 PERCENT = 90
 ORDERS = 3
 #: Bits of the bitmap: about SLOTS for each shingle, within these powers of two.
-SLOTS, LEAST_BITS, MOST_BITS = 2, 16, 28
+SLOTS, LEAST_BITS, MOST_BITS = 16, 16, 28
 #: Shingles that one range of the hash space has about.
 RANGE_SHINGLES = 2_000_000
 
@@ -290,7 +290,7 @@ def linked_classes(docs: DataFrame, members: DataFrame, percent: int = PERCENT,
         .groupBy("token").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
         .where("parts > 1").select("token", F.col("most.component").alias("major"))
     )
-    open_lists = common.written(placed.join(largest, "token"), "open")
+    open_lists = common.written(placed.join(common.written(largest, "largest"), "token"), "open")
     # a list is split by size: linked sizes are within a factor of percent / 100, so in the same or the next bucket of this width
     bucket = F.floor(F.log(F.col("size")) / max(1e-3, 1.0001 * math.log(100 / percent)))
     left = _side(open_lists.where("component <> major").withColumn("bucket", bucket), "m")
@@ -323,5 +323,6 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows that share that doc_id stay together, and so do rows without a doc_id.
     """
-    keep = common.written(clustered(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct(), "kept")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*docs.columns)
+    stays = F.bool_or(F.col("doc_id") == F.col("component_id"))
+    gone = clustered(docs).where("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id")
+    return docs.join(common.checked(common.written(gone, "gone")), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
