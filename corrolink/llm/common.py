@@ -10,7 +10,7 @@ import itertools
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -49,15 +49,21 @@ def shared_dir(spark: SparkSession) -> str:
         if current.isDefined():
             found = current.get()
         else:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="corrolink-")
             atexit.register(shutil.rmtree, found, True)
             sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: list[str] = []  # the scratch paths of this process, in their order
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/corrolink/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/corrolink/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -82,11 +88,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    jvm, sc = spark._jvm, spark.sparkContext
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(sc._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this engine in the shared folder (call once results are stored)."""
-    jvm, sc = spark._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corrolink")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    deleted(spark, f"{shared_dir(spark)}/corrolink")
+
+
+def stored(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """The table that `make` gives, written; the scratch tables that it needed are deleted."""
+    before = len(_made)
+    out = written(make(), what)
+    for path in _made[before:-1]:
+        deleted(spark, path)
+    _made[before:] = _made[-1:]
+    return out
 
 
 def arrow_schema(schema: str) -> pa.Schema:
@@ -128,9 +148,10 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Return freed memory to the system, so that a worker that waits for its next task holds little."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -151,6 +172,7 @@ def mapped(df: DataFrame, fn, schema: str, size: int = TEXT_BYTES, per_task: boo
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
                 del batch, out
+                give_back(collect=False)
         finally:
             del own
             give_back()

@@ -35,9 +35,9 @@ N_BEST = 3
 #: Stands for a blank mark that a text itself holds; no chunk is so long and unknown.
 OWN_MARK = "\0" + MARK
 #: Chunks remembered by a task; beyond that only those that came again stay.
-REMEMBERED = 100_000
+REMEMBERED = 120_000
 #: Bytes of text whose chunks are numbered and searched together.
-TEXT_BYTES = 3 << 19
+TEXT_BYTES = 1 << 20
 
 #: Chunks of up to so many characters are searched together, up to GROUP of them.
 TOGETHER = 40
@@ -135,6 +135,7 @@ class Codec:
         self.known_char = single
         known = "".join(re.escape(ch) for ch in sorted(single - {MARK}))
         self.cut = re.compile(f"{MARK}+[{known}]*|[{known}]+|[\\s\\S]").findall
+        self.is_known = re.compile(f"[{known}]*").fullmatch
         self.said = [p.replace(MARK, " ").encode("utf-8") for p in vocabulary.pieces]
         for b, i in enumerate(vocabulary.byte_ids):
             self.said[i] = bytes([b])
@@ -158,8 +159,12 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        """Chunks are numbered; a number tells where the ids of a segmentation stand, how many they are, its score and its gap."""
+        """Names are numbered; a number tells where the ids of a segmentation stand, how many they are, its score and its gap.
+
+        A name without a blank is a word, for the blank mark and the word; one behind a blank is a chunk as it stands.
+        """
         self.number: dict[str, int] = {}
+        self.names: list[str] = []  # of each number; empty for alternatives
         self.others: dict[tuple[int, int], list[tuple[float, int]]] = {}
         self.flat, self.first, self.size, self.score, self.gap, self.uses = (Grown(k) for k in (np.int32, np.int64, np.int64, np.float64, np.float64, np.int64))
 
@@ -170,7 +175,7 @@ class Codec:
         size, score, gap = self.size[at], self.score[at], self.gap[at]
         flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.first[at] - (np.cumsum(size) - size), size)]
         self.forget()
-        self._number([c for c, _ in kept], self._remember(flat, size, score, gap))
+        self._remember(flat, size, score, gap, [c for c, _ in kept])
 
     # ---- one chunk of characters that all have pieces
 
@@ -248,32 +253,51 @@ class Codec:
 
     # ---- many chunks at once
 
-    def _remember(self, flat, sizes, scores, gaps) -> int:
+    def _remember(self, flat, sizes, scores, gaps, names: list[str] | None = None) -> int:
         """Number further segmentations, whose ids stand one behind the other; gives the first number."""
         base, sizes = self.size.n, np.asarray(sizes, dtype=np.int64)
         self.first.extend(self.flat.n + np.cumsum(sizes) - sizes)
         for grown, values in ((self.flat, flat), (self.size, sizes), (self.score, scores), (self.gap, gaps), (self.uses, np.zeros(len(sizes), dtype=np.int64))):
             grown.extend(values)
+        self.names += names or [""] * len(sizes)
+        if names:
+            self.number.update(zip(names, range(base, base + len(names)), strict=True))
         return base
 
-    def _number(self, chunks: list[str], base: int) -> None:
-        self.number.update(zip(chunks, range(base, base + len(chunks)), strict=True))
-
-    def best_many(self, chunks) -> None:
-        """Find and remember the best segmentations of chunks that are not remembered yet."""
-        known = [c for c in chunks if c[0] in self.known_char]
-        short = sorted([c for c in known if len(c) <= TOGETHER], key=len, reverse=True)
+    def learn(self, names) -> None:
+        """Find and remember the best segmentations of names that are not remembered yet."""
+        mixed = [c for c in names if c[:1] != " " and not self.is_known(c)]
+        parts = [self._parts(c) for c in mixed]
+        alone = set(names).difference(mixed)
+        alone.update(itertools.filterfalse(self.number.__contains__, itertools.chain.from_iterable(parts)))
+        self.best_many(alone)
+        for name, own in zip(mixed, parts, strict=True):
+            k = [self.number[p] for p in own]
+            ids = np.concatenate([self._ids(x) for x in k])
+            self._remember(ids, [len(ids)], [self.score[k].sum()], [self.gap[k].min()], [name])
+
+    def _parts(self, word: str) -> list[str]:
+        """The names of the chunks of a word that holds characters without a piece."""
+        return [c[1:] if c[0] == MARK else " " + c for c in self.cut(MARK + word)]
+
+    def _ids(self, number: int) -> np.ndarray:
+        return self.flat[self.first[number] : self.first[number] + self.size[number]]
+
+    def best_many(self, names) -> None:
+        """`learn` of names that are one chunk each."""
+        chunks = {c: c[1:] if c[:1] == " " else MARK + c for c in names}
+        short = sorted([c for c, t in chunks.items() if len(t) <= TOGETHER and t[0] in self.known_char], key=lambda c: len(chunks[c]), reverse=True)
         for k in range(0, len(short), GROUP):
-            self._best_group(short[k : k + GROUP])
-        rest = {c: self.best(c) for c in known if len(c) > TOGETHER}
-        rest |= {c: self._spelt(MARK if c == OWN_MARK else c) for c in chunks if c[0] not in self.known_char}
+            group = short[k : k + GROUP]
+            self._best_group(group, [chunks[c] for c in group])
+        rest = {c: self.best(t) if t[0] in self.known_char else self._spelt(MARK if t == OWN_MARK else t) for c, t in chunks.items() if len(t) > TOGETHER or t[0] not in self.known_char}
         if rest:
             flat = list(itertools.chain.from_iterable(f.ids for f in rest.values()))
-            self._number(list(rest), self._remember(flat, [len(f.ids) for f in rest.values()], [f.score for f in rest.values()], [f.gap for f in rest.values()]))
+            self._remember(flat, [len(f.ids) for f in rest.values()], [f.score for f in rest.values()], [f.gap for f in rest.values()], list(rest))
 
-    def remembered(self, chunk: str) -> Found:
-        k = self.number[chunk]
-        return Found(tuple(self.flat[self.first[k] : self.first[k] + self.size[k]].tolist()), float(self.score[k]), float(self.gap[k]))
+    def remembered(self, name: str) -> Found:
+        k = self.number[name]
+        return Found(tuple(self._ids(k).tolist()), float(self.score[k]), float(self.gap[k]))
 
     def _lookup(self, h: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes, of those at the places `maybe`, are pieces', and the places of those pieces in the sorted table."""
@@ -287,7 +311,7 @@ class Codec:
             place[hit] = here[hit]
         return maybe[sure], place[sure]
 
-    def _best_group(self, group: list[str]) -> None:
+    def _best_group(self, names: list[str], group: list[str]) -> None:
         """`best` of many chunks, the longest first: those that reach a place are the first of them."""
         m, lens = len(group), np.array([len(c) for c in group])
         n, every = int(lens[0]), np.arange(m)
@@ -342,7 +366,7 @@ class Codec:
                 other = np.where(follows[i, r] == j, -np.inf, best[i, r] + after)
                 second[r] = np.maximum(second[r], other)
         top = best[lens, every]
-        self._number(group, self._remember(flat, sizes, top, top - second))
+        self._remember(flat, sizes, top, top - second, names)
 
     # ---- texts
 
@@ -356,14 +380,14 @@ class Codec:
 
     def encode_all(self, texts: list[str | None], n: int = 1) -> Segmented:
         """The n best segmentations of each text; chunks that are new are searched together."""
-        parts = [None if t is None else self.split_marked(t) if t else [] for t in texts]
+        parts = [None if t is None else self.split_names(t) if t else [] for t in texts]
         chunks = list(itertools.chain.from_iterable(filter(None, parts)))
         if len(self.number) > REMEMBERED:
             self.prune()
         num = np.fromiter(map(self.number.get, chunks, itertools.repeat(-1)), dtype=np.int64, count=len(chunks))
         missing = np.flatnonzero(num < 0)
         new = [chunks[k] for k in missing.tolist()]
-        self.best_many(set(new))
+        self.learn(set(new))
         num[missing] = np.fromiter(map(self.number.__getitem__, new), dtype=np.int64, count=len(new))
         self.uses.held[: self.size.n] += np.bincount(num, minlength=self.size.n)
         lens = np.array([len(p) if p else 0 for p in parts], dtype=np.int64)
@@ -391,14 +415,28 @@ class Codec:
         """What each of a chunk's n best segmentations loses against the best, and its number."""
         known = self.others.get((number, n))
         if known is None:
-            ids = self.flat[self.first[number] : self.first[number] + self.size[number]]
-            top = float(self.score[number])
-            found = [(top, tuple(ids.tolist()))]  # Viterbi's own stands first among equals
-            found = (found + [f for f in self.n_best(self._text_of(ids), n) if f[1] != found[0][1]])[:n]
+            top, ids = float(self.score[number]), tuple(self._ids(number).tolist())
+            if self.is_known(self.names[number].lstrip(" " + MARK)):
+                found = [(top, ids)]  # Viterbi's own stands first among equals
+                found = (found + [f for f in self.n_best(self._text_of(ids), n) if f[1] != ids])[:n]
+            else:
+                found = self._combined(self._parts(self.names[number]), n)
             base = self._remember(list(itertools.chain.from_iterable(alt for _, alt in found)), [len(alt) for _, alt in found], [s for s, _ in found], [np.inf] * len(found))
             known = self.others[number, n] = [(top - s, base + k) for k, (s, _) in enumerate(found)]
         return known
 
+    def _combined(self, parts: list[str], n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """Scores and ids of the n best of a word of several chunks."""
+        self.learn({p for p in parts if p not in self.number})
+        num = np.array([self.number[p] for p in parts], dtype=np.int64)
+        out = []
+        for lost, picks in self._options(num, self.gap[num], 0, len(num), n):
+            own = num.copy()
+            for k, rank in picks:
+                own[k] = self._alternatives(int(num[k]), n)[rank][1]
+            out.append((float(self.score[num].sum()) - lost, tuple(np.concatenate([self._ids(k) for k in own]).tolist())))
+        return out
+
     def _options(self, num: np.ndarray, gaps: np.ndarray, a: int, b: int, n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
         """Of a text's n best: what each loses, and (place, rank) of the chunks that are not as in the best.
 
@@ -416,14 +454,14 @@ class Codec:
             sums = heapq.nsmallest(n, [(lost + more, (*picks, (a + k, rank)) if rank else picks) for lost, picks in sums for rank, (more, _) in enumerate(choices)])
         return sums
 
-    def split_marked(self, text: str) -> list[str]:
-        """`split`, with the marks that the text itself holds as chunks named OWN_MARK."""
-        if MARK not in text:
-            return self.split(text)
+    def split_names(self, text: str) -> list[str]:
+        """The names of what a text falls into: words, where single blanks part them, or else chunks."""
+        if MARK not in text and "  " not in text and text[0] != " ":
+            return text.split(" ")
         out: list[str] = []
-        for k, part in enumerate(text.split(MARK)):
+        for k, part in enumerate(text.split(MARK)):  # the marks that the text itself holds are chunks of their own
             here = self.split(part) if k == 0 else self.cut(part.replace(" ", MARK))
-            out += [OWN_MARK, *here] if k else here
+            out += [" " + c for c in ([OWN_MARK, *here] if k else here)]
         return out
 
     def _text_of(self, ids) -> str:

@@ -182,7 +182,8 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, payload, refers_to): of equal payloads the smallest page_id stands, others refer to it."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("page_id").alias("n")).where("n > 1").select("digest", "first_id")
+    first = rows.select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("page_id").alias("n")).where("n > 1").select("digest", "first_id")
+    first = common.checked(common.written(first, "repeated"))  # payloads travel only where this table is too large
     refers = F.when((F.length("payload") >= min_bytes) & (F.col("page_id") > F.col("first_id")), F.col("first_id"))
     return rows.join(first, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
@@ -252,7 +253,7 @@ def read_archives(ranges: DataFrame, tasks: int) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(common.table(spark, sf_dir, "pages"), common.scratch(spark, "warc"))
     ranges = splits(manifest)
-    tasks = max(1, min(10_000, ranges.count()))
+    tasks = max(1, ranges.count())
     number = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c).cast("bigint"))
     read = read_archives(ranges, tasks).select(as_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", as_id("refers_to").alias("refers_to"))
