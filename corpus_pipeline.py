@@ -27,5 +27,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole table documents."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.stored(spark, lambda: stage(spark, docs, sf_dir), name.replace(" ", "-"))  # noqa: B023
     return docs
