@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +28,14 @@ def query(sql: str | None = None):
 
 
 @query(
-    r"""WITH e AS (SELECT doc_id, rtrim(trim(regexp_extract(text, '[^\s@]+@[^\s@]+')), '.,;:') AS raw FROM documents WHERE text LIKE '%@%'), l AS (SELECT doc_id, lower(raw) AS e FROM e),
+    r"""WITH e AS (SELECT doc_id, rtrim(trim(unnest(regexp_extract_all(text, '[^\s@]+@[^\s@]+'))), '.,;:') AS raw FROM documents), l AS (SELECT doc_id, lower(raw) AS e FROM e),
 s AS (SELECT *, split_part(e, '@', 1) AS loc, string_split(split_part(e, '@', 2), '.') AS lab FROM l)
 SELECT doc_id, CASE WHEN e <> '' AND len(e) <= 254 AND len(loc) > 0 AND loc[1] <> '.' AND loc[-1] <> '.' AND NOT contains(loc, '..') AND len(lab) >= 2 AND len(lab[-1]) >= 2
   AND len(list_filter(lab, lambda x: len(x) > 63 OR NOT regexp_full_match(x, '[^\s.@-](?:[^\s.@]*[^\s.@-])?'))) = 0 THEN e END AS email FROM s"""
 )
 def email_norm(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.col("text").contains("@"))
-    return docs.select("doc_id", text.valid_email(F.regexp_extract("text", r"[^\s@]+@[^\s@]+", 0)).alias("email"))
+    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^\s@]+@[^\s@]+"), F.lit(0))).alias("raw"))
+    return found.select("doc_id", text.valid_email(F.col("raw")).alias("email"))
 
 
 @query(
@@ -151,20 +149,19 @@ def timeline_order(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- audit and replay
 
-_CHAIN = """k AS (SELECT user_id AS run, event_id, event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 5 = 0),
+_CHAIN = """k AS (SELECT user_id AS run, event_id, event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 ch AS (SELECT run, n, payload, repeat('0', 64) AS prev, sha256(run || '|' || n || '|' || sha256(payload) || '|' || repeat('0', 64)) AS h FROM k WHERE n = 1
   UNION ALL SELECT k.run, k.n, k.payload, ch.h, sha256(k.run || '|' || k.n || '|' || sha256(k.payload) || '|' || ch.h) FROM ch JOIN k ON k.run = ch.run AND k.n = ch.n + 1)"""
 
 
-def _chain(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Chains of all events of each run; unless whole, of every fifth event id, as _CHAIN has it."""
-    events = table(spark, d, "events")
-    return audit.chained(events if whole else events.where("event_id % 5 = 0"), "user_id", ["ts", "event_id"], "event_type")
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of all events of each run."""
+    return audit.chained(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT run, n AS sequence, payload, prev AS previous_hash, h AS event_hash FROM ch")
-def audit_chain_build(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _chain(spark, d, whole)
+def audit_chain_build(spark: SparkSession, d: str) -> DataFrame:
+    return _chain(spark, d)
 
 
 @query(
@@ -174,16 +171,11 @@ g AS (SELECT run, max(n) AS top, count(*) AS c, min(CASE WHEN bad THEN n END) AS
 SELECT run, CASE WHEN len(missing) > 0 THEN 'incomplete' WHEN fb IS NOT NULL THEN 'broken' ELSE 'verified' END AS status, CASE WHEN len(missing) > 0 THEN missing[1] ELSE coalesce(fb, 0) END AS first_invalid,
   CASE WHEN len(missing) > 0 THEN missing[1] - 1 WHEN fb IS NOT NULL THEN fb - 1 ELSE c END AS verified_events, array_to_string(missing, ',') AS missing, '' AS doubled FROM m"""
 )
-def audit_chain_verify(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = _chain(spark, d, whole).where("not (run % 4 = 1 and sequence = 3)")
+def audit_chain_verify(spark: SparkSession, d: str) -> DataFrame:
+    c = _chain(spark, d).where("not (run % 4 = 1 and sequence = 3)")
     return audit.verified(c.withColumn("payload", F.when((F.col("run") % 3 == 0) & (F.col("sequence") == 4), "tampered").otherwise(F.col("payload"))))
 
 
-# Over all events, without SQL: its recursion would be slow there. Tests hold them against brute force.
-QUERIES["audit_chain_build_whole"] = partial(audit_chain_build, whole=True)
-QUERIES["audit_chain_verify_whole"] = partial(audit_chain_verify, whole=True)
-
-
 @query(
     """WITH e AS (SELECT user_id AS checkpoint, sha256(CAST(count(*) AS VARCHAR)) AS h FROM events WHERE user_id % 10 <> 3 GROUP BY 1), o AS (SELECT user_id AS checkpoint, sha256(CAST(count(*) + CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR)) AS h FROM events WHERE user_id % 10 <> 4 GROUP BY 1)
 SELECT checkpoint, CASE WHEN e.h IS NULL THEN 'unexpected' WHEN o.h IS NULL THEN 'missing' WHEN e.h = o.h THEN 'match' ELSE 'diverged' END AS status FROM e FULL JOIN o USING (checkpoint)"""
@@ -420,10 +412,9 @@ def safety_limits(spark: SparkSession, d: str) -> DataFrame:
     return stores.over_limits(table(spark, d, "documents"), "source", "text")
 
 
-@query("SELECT doc_id, 'assignment' AS lacks FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'fixture' FROM labels WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id, 'assignment' AS lacks FROM documents ANTI JOIN (SELECT doc_id * 2 AS doc_id FROM labels) USING (doc_id) UNION ALL SELECT doc_id, 'fixture' FROM (SELECT doc_id * 2 AS doc_id FROM labels) ANTI JOIN documents USING (doc_id)")
 def coverage_check(spark: SparkSession, d: str) -> DataFrame:
-    fixture = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id")
-    return stores.coverage_gaps(fixture, table(spark, d, "labels").select("doc_id"), "doc_id")
+    return stores.coverage_gaps(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select((F.col("doc_id") * 2).alias("doc_id")), "doc_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -459,10 +450,10 @@ def first_divergence(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT l_orderkey AS scope, min(l_partkey) AS a, max(l_partkey) AS b, CASE WHEN l_orderkey % 2 = 0 THEN 'link_recommended' ELSE 'human_review_required' END AS before FROM lineitem GROUP BY l_orderkey HAVING min(l_partkey) < max(l_partkey))
-SELECT scope, a, b, before, CASE WHEN scope % 5 = 0 THEN 'insufficient_evidence' ELSE before END AS after, scope % 5 <> 0 AS same_pair FROM s WHERE scope % 5 <> 1"""
+SELECT scope, a, b, before, CASE WHEN scope % 5 = 0 THEN 'insufficient_evidence' ELSE before END AS after, scope % 5 <> 0 AS same_pair FROM s"""
 )
 def counterfactual_compare(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scope")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a < b and scope % 5 <> 1")
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("scope")).agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).where("a < b")
     s = s.withColumn("state", F.when(F.col("scope") % 2 == 0, "link_recommended").otherwise("human_review_required"))
     gone = F.col("scope") % 5 == 0
     changed = s.select("scope", F.col("b").alias("a"), F.when(gone, F.col("a") - 1000000).otherwise(F.col("a")).alias("b"), F.when(gone, "insufficient_evidence").otherwise(F.col("state")).alias("state"), F.lit(1).alias("rank"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, phone, policy, text
 from ..operators import blocking, compare, decide
-from .tables import COMPARED_SQL, DECIDED_SQL, EMITTED_SQL, ORDER_BLOCK, POLICY, compared_orders, customer_keys, decided_orders, table
+from .tables import COMPARED_SQL, DECIDED_SQL, EMITTED_SQL, POLICY, compared_orders, customer_keys, decided_orders, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,19 +24,6 @@ def query(sql: str | None = None):
     return add
 
 
-def whole(block: str):
-    """Registers a query also as <name>_whole: over all pairs of a scope, with the SQL freed of the id block that the plain name's SQL has."""
-
-    def add(fn):
-        name = fn.__name__
-        if block not in SQL[name]:
-            raise ValueError(f"the SQL of {name} has no such block")
-        QUERIES[f"{name}_whole"], SQL[f"{name}_whole"] = partial(fn, whole=True), SQL[name].replace(block, "")
-        return fn
-
-    return add
-
-
 def joined_rules() -> Column:
     return F.array_join("rules", ",").alias("rules")
 
@@ -152,10 +138,9 @@ def phone_parse(spark: SparkSession, d: str) -> DataFrame:
     return p.select("c_custkey", "p.digits", "p.prefix", "p.country_code", "p.national_number", "p.extension", "p.is_valid", "p.is_complete")
 
 
-@whole(" AND x.c_custkey // 60 = y.c_custkey // 60")
 @query(
     f"""WITH {PHONE_SQL}, m AS (SELECT x.c_custkey AS a, y.c_custkey AS b, x.digits AS xd, y.digits AS yd, x.prefix AS xp, y.prefix AS yp, x.code AS xc, y.code AS yc, x.nat AS xn, y.nat AS yn, x.valid AS xv, y.valid AS yv
-  FROM ph x JOIN ph y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey AND x.c_custkey // 60 = y.c_custkey // 60),
+  FROM ph x JOIN ph y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey),
 z AS (SELECT *, CASE WHEN xp <> 'none' THEN xn ELSE yn END AS nat, CASE WHEN xp <> 'none' THEN yd ELSE xd END AS loc, CASE WHEN xp <> 'none' THEN xc ELSE yc END AS code FROM m)
 SELECT a, b, CASE WHEN NOT xv OR NOT yv OR xd = '' OR yd = '' THEN 'insufficient'
   WHEN xp <> 'none' AND yp <> 'none' THEN CASE WHEN xd = yd THEN CASE WHEN xp <> yp THEN 'intl_prefix_equivalent' ELSE 'exact_match' END WHEN len(xd) >= 7 AND len(yd) >= 7 THEN 'conflict' ELSE 'insufficient' END
@@ -163,11 +148,11 @@ SELECT a, b, CASE WHEN NOT xv OR NOT yv OR xd = '' OR yd = '' THEN 'insufficient
        WHEN len(xd) >= 7 AND len(yd) >= 7 AND xd[-7:] = yd[-7:] THEN 'weak_suffix_overlap' ELSE 'insufficient' END
   WHEN xd = yd THEN 'exact_match' WHEN len(xd) >= 7 AND len(yd) >= 7 THEN 'conflict' ELSE 'insufficient' END AS outcome FROM z"""
 )
-def phone_compare(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Pairs of one nation's customers; unless whole, in blocks of 60 keys, as the SQL has it."""
-    p = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_custkey") / 60).alias("block"), phone.parse(F.expr(SPARK_PHONE_TEXT)).alias("p"))
-    side = lambda s: p.select("c_nationkey", "block", F.col("c_custkey").alias(s), F.col("p").alias(f"p{s}"))
-    return side("a").join(side("b"), ["c_nationkey"] if whole else ["c_nationkey", "block"]).where("a < b").select("a", "b", phone.outcome(F.col("pa"), F.col("pb")).alias("outcome"))
+def phone_compare(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of one nation's customers."""
+    p = table(spark, d, "customer").select("c_custkey", "c_nationkey", phone.parse(F.expr(SPARK_PHONE_TEXT)).alias("p"))
+    side = lambda s: p.select("c_nationkey", F.col("c_custkey").alias(s), F.col("p").alias(f"p{s}"))
+    return side("a").join(side("b"), "c_nationkey").where("a < b").select("a", "b", phone.outcome(F.col("pa"), F.col("pb")).alias("outcome"))
 
 
 @query(f"WITH {PHONE_SQL}, k AS (SELECT c_nationkey AS scope, c_custkey AS record, digits[-7:] AS key FROM ph WHERE len(digits) >= 7) SELECT x.scope, x.record AS a, y.record AS b FROM k x JOIN k y ON x.scope = y.scope AND x.key = y.key AND x.record < y.record")
@@ -183,33 +168,31 @@ def phone_suffix_block(spark: SparkSession, d: str) -> DataFrame:
 def _field(name: str, short: str):
     sql = f"WITH {COMPARED_SQL.replace('{review}', '0.15').replace('{link}', '0.35')} SELECT scope, a, b, {short}c AS class, {dict(a='ag').get(short, short)}s AS score FROM d"
 
-    def run(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    def run(spark: SparkSession, d: str) -> DataFrame:
         cell = F.filter("comparisons", lambda c: c["field"] == name)[0]
-        return compared_orders(spark, d, whole).select("scope", "a", "b", cell["class"].alias("class"), cell["score"].alias("score"))
+        return compared_orders(spark, d).select("scope", "a", "b", cell["class"].alias("class"), cell["score"].alias("score"))
 
     return run, sql
 
 
 for _name, _short, _key in (("date_of_birth", "d", "date_compare"), ("age", "a", "age_compare"), ("government_id", "g", "exact_id_compare"), ("language", "l", "overlap_compare"), ("last_known_location", "o", "location_compare")):
     QUERIES[_key], SQL[_key] = _field(_name, _short)
-    QUERIES[f"{_key}_whole"], SQL[f"{_key}_whole"] = partial(QUERIES[_key], whole=True), SQL[_key].replace(ORDER_BLOCK, "")
 
 
 _CLOCK = "(event_id % 12 + 1) || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || CASE event_id % 3 WHEN 0 THEN ' p.m.' WHEN 1 THEN ' am' ELSE '' END"
 _MINUTES = "CASE WHEN event_id % 3 = 0 THEN CASE WHEN event_id % 12 + 1 < 12 THEN event_id % 12 + 13 ELSE 12 END WHEN event_id % 3 = 1 AND event_id % 12 + 1 = 12 THEN 0 ELSE event_id % 12 + 1 END * 60 + event_id % 60"
 
 
-@whole(" AND x.event_id // 500 = y.event_id // 500")
 @query(
     f"""WITH e AS (SELECT event_id, user_id, {_MINUTES} AS m FROM events)
 SELECT x.event_id AS a, y.event_id AS b, CASE WHEN y.m >= x.m OR abs(y.m - x.m) <= 30 THEN 'compatible' ELSE 'conflict' END AS class
-FROM e x JOIN e y ON x.user_id = y.user_id AND x.event_id // 500 = y.event_id // 500 AND x.event_id < y.event_id"""
+FROM e x JOIN e y ON x.user_id = y.user_id AND x.event_id < y.event_id"""
 )
-def time_window_compare(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Pairs of one user's events; unless whole, in blocks of 500 ids, as the SQL has it."""
-    e = table(spark, d, "events").select("event_id", "user_id", F.floor(F.col("event_id") / 500).alias("block"), F.concat(F.lit("seen around "), F.expr(_CLOCK.replace("VARCHAR", "STRING"))).alias("said"))
-    side = lambda s: e.select("user_id", "block", F.col("event_id").alias(s), F.col("said").alias(f"t{s}"))
-    met = side("a").join(side("b"), ["user_id"] if whole else ["user_id", "block"]).where("a < b")
+def time_window_compare(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of one user's events."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.concat(F.lit("seen around "), F.expr(_CLOCK.replace("VARCHAR", "STRING"))).alias("said"))
+    side = lambda s: e.select("user_id", F.col("event_id").alias(s), F.col("said").alias(f"t{s}"))
+    met = side("a").join(side("b"), "user_id").where("a < b")
     return met.select("a", "b", compare.time_window(F.col("ta"), F.col("tb"), POLICY["last_seen_time"])["class"].alias("class"))
 
 
@@ -249,38 +232,34 @@ def name_channels(spark: SparkSession, d: str) -> DataFrame:
 # ---- decisions
 
 
-@whole(ORDER_BLOCK)
 @query(f"WITH {DECIDED_SQL} SELECT scope, a, b, state, reasons, score FROM dd")
-def linkage_decision(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return decided_orders(spark, d, whole)
+def linkage_decision(spark: SparkSession, d: str) -> DataFrame:
+    return decided_orders(spark, d)
 
 
-@whole(ORDER_BLOCK)
 @query(f"WITH {DECIDED_SQL} SELECT scope, a, b, raw AS total FROM d")
-def linkage_score(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return compared_orders(spark, d, whole).select("scope", "a", "b", compare.total_score(F.col("comparisons")).alias("total"))
+def linkage_score(spark: SparkSession, d: str) -> DataFrame:
+    return compared_orders(spark, d).select("scope", "a", "b", compare.total_score(F.col("comparisons")).alias("total"))
 
 
-@whole(ORDER_BLOCK)
 @query(f"WITH {DECIDED_SQL} SELECT state, count(*) AS n, sum(CAST(round(score * 10000) AS BIGINT))::BIGINT AS points FROM dd GROUP BY state")
-def decision_by_state(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return decided_orders(spark, d, whole).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("score") * 10000).cast("long")).alias("points"))
+def decision_by_state(spark: SparkSession, d: str) -> DataFrame:
+    return decided_orders(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("score") * 10000).cast("long")).alias("points"))
 
 
 SWEEP = ((0.20, 0.10), (0.25, 0.12), (0.30, 0.15), (0.35, 0.15), (0.40, 0.18), (0.45, 0.20), (0.50, 0.25))
 
 
-@whole(ORDER_BLOCK)
 @query(
     f"""WITH v(link, review) AS (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in SWEEP)}), {COMPARED_SQL[: COMPARED_SQL.index("d AS (SELECT *, round")].rstrip().rstrip(",")},
 d AS (SELECT link, review, CASE WHEN blocked THEN 'blocked_by_conflict' WHEN gc = 'exact_match' THEN 'link_recommended' WHEN len(w) > 0 OR raw < review THEN 'insufficient_evidence'
   WHEN raw >= link AND len(cats) >= 2 THEN 'link_recommended' ELSE 'human_review_required' END AS state FROM u, v)
 SELECT link, review, state, count(*) AS n FROM d GROUP BY ALL"""
 )
-def threshold_sweep(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     """States under seven pairs of thresholds, in one pass over the compared pairs (the seven are a literal, so rows grow seven times, not by a join)."""
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("link"), F.lit(b).alias("review")) for a, b in SWEEP]))
-    swept = compared_orders(spark, d, whole).select("comparisons", grid.alias("t"))
+    swept = compared_orders(spark, d).select("comparisons", grid.alias("t"))
     state = decide.decision(F.col("comparisons"), F.col("t.link"), F.col("t.review"))["state"]
     return swept.select(F.col("t.link").alias("link"), F.col("t.review").alias("review"), state.alias("state")).groupBy("link", "review", "state").agg(F.count(F.lit(1)).alias("n"))
 
@@ -288,50 +267,46 @@ def threshold_sweep(spark: SparkSession, d: str, whole: bool = False) -> DataFra
 _RANKED_SQL = DECIDED_SQL + ", rk AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY a, b) AS rank FROM dd)"
 
 
-def _ranked(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    return decided_orders(spark, d, whole).withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy("a", "b")))
+    return decided_orders(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy("a", "b")))
 
 
-@whole(ORDER_BLOCK)
 @query(
     f"""WITH {_RANKED_SQL}, g AS (SELECT *, coalesce(abs(nth_value(score, 1) OVER w - nth_value(score, 2) OVER w) <= 0.2, false) AS close FROM rk WINDOW w AS (PARTITION BY scope ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT scope, a, b, rank, state, close, CASE WHEN close AND state = 'link_recommended' THEN 'human_review_required' ELSE state END AS final_state FROM g"""
 )
-def rival_downgrade(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return decide.rival_downgrade(_ranked(spark, d, whole)).select("scope", "a", "b", "rank", "state", "close", "final_state")
+def rival_downgrade(spark: SparkSession, d: str) -> DataFrame:
+    return decide.rival_downgrade(_ranked(spark, d)).select("scope", "a", "b", "rank", "state", "close", "final_state")
 
 
-@whole(ORDER_BLOCK)
 @query(
     f"""WITH {DECIDED_SQL}, x AS (SELECT scope, a, b, score, unnest([a, b]) AS shared FROM dd)
 SELECT x.scope, x.a, x.b, array_to_string(list_sort(list(DISTINCT CASE WHEN y.a = x.shared THEN y.b ELSE y.a END)), ',') AS rivals
 FROM x JOIN x y ON x.scope = y.scope AND x.shared = y.shared AND (x.a <> y.a OR x.b <> y.b) AND abs(x.score - y.score) <= 0.15 GROUP BY x.scope, x.a, x.b"""
 )
-def close_rivals(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return decide.close_rivals(decided_orders(spark, d, whole)).select("scope", "a", "b", F.array_join("rivals", ",").alias("rivals"))
+def close_rivals(spark: SparkSession, d: str) -> DataFrame:
+    return decide.close_rivals(decided_orders(spark, d)).select("scope", "a", "b", F.array_join("rivals", ",").alias("rivals"))
 
 
 _MAP = lambda col, m: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in m.items()) + " END"
 
 
-@whole(ORDER_BLOCK)
 @query(f"WITH {DECIDED_SQL} SELECT {_MAP('state', policy.CLASSIFICATION)} AS classification, {_MAP('state', policy.PRIORITY)} AS priority, {_MAP('state', {k: ','.join(v) for k, v in policy.ACTIONS.items()})} AS actions, count(*) AS n FROM dd GROUP BY ALL")
-def review_queue(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("state")
-    return decided_orders(spark, d, whole).groupBy(decide.classification(s).alias("classification"), decide.priority(s).alias("priority"), decide.actions(s).alias("actions")).agg(F.count(F.lit(1)).alias("n"))
+    return decided_orders(spark, d).groupBy(decide.classification(s).alias("classification"), decide.priority(s).alias("priority"), decide.actions(s).alias("actions")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _PROPOSED = "list_extract([" + ", ".join(f"'{s}'" for s in policy.STATES) + "], CAST((a + b) % 6 + 1 AS INTEGER))"
 _ALLOWED = " OR ".join(f"(state = '{k}' AND q IN ({', '.join(repr(x) for x in v)}))" for k, v in policy.TRANSITIONS.items())
 
 
-@whole(ORDER_BLOCK)
 @query(f"WITH {DECIDED_SQL}, z AS (SELECT scope, a, b, state, {_PROPOSED} AS q FROM dd) SELECT scope, a, b, q AS proposed, CASE WHEN {_ALLOWED} THEN q ELSE state END AS final_state FROM z")
-def adjudication_floor(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+def adjudication_floor(spark: SparkSession, d: str) -> DataFrame:
     proposed = F.element_at(F.array(*[F.lit(s) for s in policy.STATES]), ((F.col("a") + F.col("b")) % 6 + 1).cast("int"))
-    z = decided_orders(spark, d, whole).withColumn("proposed", proposed)
+    z = decided_orders(spark, d).withColumn("proposed", proposed)
     return z.select("scope", "a", "b", "proposed", decide.adjudicated(F.col("state"), F.col("proposed")).alias("final_state"))
 
 
@@ -343,10 +318,9 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return decide.majority(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", "l_linenumber")
 
 
-@whole(ORDER_BLOCK)
 @query(
     f"""WITH {DECIDED_SQL} SELECT scope, a, b, state || ': ' || replace(reasons, ',', ', ') || ' (score ' || printf('%.4f', score) || ')' AS explanation FROM dd"""
 )
-def decision_explanation(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    x = compared_orders(spark, d, whole).select("scope", "a", "b", decide.decision(F.col("comparisons")).alias("d"))
+def decision_explanation(spark: SparkSession, d: str) -> DataFrame:
+    x = compared_orders(spark, d).select("scope", "a", "b", decide.decision(F.col("comparisons")).alias("d"))
     return x.select("scope", "a", "b", decide.explanation(F.col("d")).alias("explanation"))

@@ -56,13 +56,12 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def compared_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(scope, a, b, comparisons): all pairs of one customer's orders, compared field by field in policy order; unless whole, only pairs in one block of 400 keys, as COMPARED_SQL has it."""
+def compared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, a, b, comparisons): all pairs of one customer's orders, compared field by field in policy order."""
     fields = ["date_of_birth", "age", "government_id", "language", "last_known_location"]
-    r = order_records(spark, sf_dir).withColumn("block", F.floor(F.col("record") / 400))
-    side = lambda s: r.select("scope", "block", F.col("record").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in fields])
-    met = side("a").join(side("b").drop("block"), "scope") if whole else side("a").join(side("b"), ["scope", "block"])
-    met = met.where("a < b")
+    r = order_records(spark, sf_dir)
+    side = lambda s: r.select("scope", F.col("record").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in fields])
+    met = side("a").join(side("b"), "scope").where("a < b")
     ab = lambda f: (F.col(f"a_{f}"), F.col(f"b_{f}"), POLICY[f])
     outcomes = {
         "date_of_birth": compare.date(*ab("date_of_birth")),
@@ -75,22 +74,20 @@ def compared_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> Da
     return met.select("scope", "a", "b", *[F.col(f"{s}_{f}") for s in "ab" for f in fields], cells.alias("comparisons"))
 
 
-def decided_orders(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    d = compared_orders(spark, sf_dir, whole).select("scope", "a", "b", decide.decision(F.col("comparisons")).alias("d"))
+def decided_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = compared_orders(spark, sf_dir).select("scope", "a", "b", decide.decision(F.col("comparisons")).alias("d"))
     return d.select("scope", "a", "b", F.col("d.state").alias("state"), F.array_join("d.reasons", ",").alias("reasons"), F.col("d.score").alias("score"))
 
 
-#: What keeps COMPARED_SQL to id blocks.
-ORDER_BLOCK = " AND x.block = y.block"
 #: One row for a pair with class, score and block of every field.
 COMPARED_SQL = r"""
-o AS (SELECT o_custkey AS scope, o_orderkey AS record, o_orderkey // 400 AS block,
+o AS (SELECT o_custkey AS scope, o_orderkey AS record,
         CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y') END AS dob,
         CAST(floor(o_totalprice / 5000) AS BIGINT) AS age,
         CASE WHEN o_orderkey % 11 = 0 THEN 'GOV-' || o_custkey WHEN o_orderkey % 11 = 1 THEN 'GOV-' || o_orderkey END AS gov,
         lower(o_orderstatus) AS lang, CASE WHEN o_orderkey % 4 > 0 THEN lower(o_orderpriority) END AS loc FROM orders),
 m AS (SELECT x.scope, x.record AS a, y.record AS b, x.dob AS xd, y.dob AS yd, x.age AS xa, y.age AS ya, x.gov AS xg, y.gov AS yg, x.lang AS xl, y.lang AS yl, x.loc AS xo, y.loc AS yo
-      FROM o x JOIN o y ON x.scope = y.scope AND x.block = y.block AND x.record < y.record),
+      FROM o x JOIN o y ON x.scope = y.scope AND x.record < y.record),
 c AS (SELECT scope, a, b,
         CASE WHEN xd[:4] <> yd[:4] OR (len(xd) >= 7 AND len(yd) >= 7 AND xd[:7] <> yd[:7]) OR (len(xd) = 10 AND len(yd) = 10 AND xd <> yd) THEN 'strong_conflict'
              WHEN len(xd) = 10 AND len(yd) = 10 THEN 'exact_match' WHEN len(xd) >= 7 AND len(yd) >= 7 THEN 'normalized_match' ELSE 'compatible' END AS dc,

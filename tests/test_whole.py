@@ -15,15 +15,15 @@ def test_all_orders_of_a_customer_meet(spark, sf_dir, duck):
 
     (n,) = duck.execute("select cast(sum(n * (n - 1) / 2) as bigint) from (select count(*) n from orders group by o_custkey)").fetchone()
     assert __spark_entry__.entry(spark).count() == n
-    assert {q: QUERIES[f"{q}_whole"](spark, sf_dir).count() for q in OVER_ORDERS} == dict.fromkeys(OVER_ORDERS, n)
+    assert {q: QUERIES[q](spark, sf_dir).count() for q in OVER_ORDERS} == dict.fromkeys(OVER_ORDERS, n)
     for q in ("decision_by_state", "review_queue"):
-        assert QUERIES[f"{q}_whole"](spark, sf_dir).groupBy().sum("n").first()[0] == n
-    assert QUERIES["threshold_sweep_whole"](spark, sf_dir).groupBy().sum("n").first()[0] == 7 * n
+        assert QUERIES[q](spark, sf_dir).groupBy().sum("n").first()[0] == n
+    assert QUERIES["threshold_sweep"](spark, sf_dir).groupBy().sum("n").first()[0] == 7 * n
 
 
 def test_orders_of_one_government_id_meet_over_any_distance(spark, sf_dir, duck):
     far = duck.execute("select count(*) from orders x join orders y on x.o_custkey = y.o_custkey and x.o_orderkey < y.o_orderkey and x.o_orderkey // 400 < y.o_orderkey // 400 where x.o_orderkey % 11 = 0 and y.o_orderkey % 11 = 0").fetchone()[0]
-    got = QUERIES["exact_id_compare_whole"](spark, sf_dir).where("a % 11 = 0 and b % 11 = 0 and floor(a / 400) < floor(b / 400) and class = 'exact_match'").count()
+    got = QUERIES["exact_id_compare"](spark, sf_dir).where("a % 11 = 0 and b % 11 = 0 and floor(a / 400) < floor(b / 400) and class = 'exact_match'").count()
     assert got == far > 0
 
 
@@ -49,9 +49,9 @@ def test_chain_of_all_events(spark, sf_dir, duck):
             checked[run] = ("broken", 4, 3, "", "")
         else:
             checked[run] = ("verified", 0, min(len(chain), 2) if run % 4 == 1 else len(chain), "", "")
-    got = QUERIES["audit_chain_build_whole"](spark, sf_dir).select("run", "sequence", "payload", "previous_hash", "event_hash").collect()
+    got = QUERIES["audit_chain_build"](spark, sf_dir).select("run", "sequence", "payload", "previous_hash", "event_hash").collect()
     assert len(got) == len(built) == duck.execute("select count(*) from events").fetchone()[0] and {tuple(r) for r in got} == built
-    assert {r["run"]: (r["status"], r["first_invalid"], r["verified_events"], r["missing"], r["doubled"]) for r in QUERIES["audit_chain_verify_whole"](spark, sf_dir).collect()} == checked
+    assert {r["run"]: (r["status"], r["first_invalid"], r["verified_events"], r["missing"], r["doubled"]) for r in QUERIES["audit_chain_verify"](spark, sf_dir).collect()} == checked
 
 
 def test_no_block_of_ids_keeps_pairs_apart(spark, tmp_path):
@@ -59,9 +59,9 @@ def test_no_block_of_ids_keeps_pairs_apart(spark, tmp_path):
     spark.range(1, 2).selectExpr("3L as user_id", "explode(array(0L, 720001L)) as event_id").write.parquet(str(tmp_path / "events.parquet"))
     spark.range(1, 2).selectExpr("'B' as p_brand", "5 as p_size", "'T' as p_type", "'hot ring' as p_name", "explode(array(1L, 90001L)) as p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     rows = lambda q: [tuple(r) for r in QUERIES[q](spark, str(tmp_path)).collect()]
-    assert rows("phone_compare_whole") == [(9, 90009, "exact_match")]
-    assert rows("time_window_compare_whole") == [(0, 720001, "conflict")]
-    assert [r[:2] for r in rows("retrieval_score_whole")] == [r[:2] for r in rows("pair_evidence_audit_whole")] == [(1, 90001)]
+    assert rows("phone_compare") == [(9, 90009, "exact_match")]
+    assert rows("time_window_compare") == [(0, 720001, "conflict")]
+    assert [r[:2] for r in rows("retrieval_score")] == [r[:2] for r in rows("pair_evidence_audit")] == [(1, 90001)]
 
 
 def test_names_meet_whatever_their_first_letters(spark, tmp_path):
