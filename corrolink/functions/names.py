@@ -12,24 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Consonants of Arabic letters, named once; presentation forms are led back to them by NFKC.
-ARABIC_LETTERS = dict(zip("ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىيپچژکگ", "' A A W A Y A B H T TH J H KH D DH R Z S SH S D T Z ' GH F Q K L M N H W Y Y P CH ZH K G".split(), strict=True))
+ARABIC_LETTERS = {
+    "ء": "'", "آ": "A", "أ": "A", "ؤ": "W", "إ": "A", "ئ": "Y", "ا": "A", "ب": "B", "ة": "H", "ت": "T", "ث": "TH", "ج": "J",
+    "ح": "H", "خ": "KH", "د": "D", "ذ": "DH", "ر": "R", "ز": "Z", "س": "S", "ش": "SH", "ص": "S", "ض": "D", "ط": "T", "ظ": "Z",
+    "ع": "'", "غ": "GH", "ف": "F", "ق": "Q", "ك": "K", "ل": "L", "م": "M", "ن": "N", "ه": "H", "و": "W", "ى": "Y", "ي": "Y",
+    "پ": "P", "چ": "CH", "ژ": "ZH", "ک": "K", "گ": "G",
+}
 # Transliteration of Cyrillic and Greek letters (lower case; capitals follow by their first letter).
-CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюяєіїґјљњџ", "a b v g d e yo zh z i y k l m n o p r s t u f kh ts ch sh shch - y - e yu ya ye i yi g j lj nj dzh".split(), strict=True))
-GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z i th i k l m n x o p r s s t y f ch ps o".split(), strict=True))
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "yo", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k",
+    "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts",
+    "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "-", "ы": "y", "ь": "-", "э": "e", "ю": "yu", "я": "ya", "є": "ye", "і": "i", "ї": "yi",
+    "ґ": "g", "ј": "j", "љ": "lj", "њ": "nj", "џ": "dzh",
+}
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps",
+    "ω": "o",
+}
 VARIANTS = {
-    "muhammad": "mohammad mohammed muhammed mohamed mohamad mohd",
-    "yusuf": "youssef yousef yusef youseff",
-    "ali": "aly",
-    "hasan": "hassan hassen",
-    "husayn": "hussain hussein husein",
-    "abdullah": "abdallah abdul",
-    "ahmad": "ahmed ahmet",
-    "ibrahim": "ebraheem",
+    "muhammad": ("mohammad", "mohammed", "muhammed", "mohamed", "mohamad", "mohd"),
+    "yusuf": ("youssef", "yousef", "yusef", "youseff"),
+    "ali": ("aly",),
+    "hasan": ("hassan", "hassen"),
+    "husayn": ("hussain", "hussein", "husein"),
+    "abdullah": ("abdallah", "abdul"),
+    "ahmad": ("ahmed", "ahmet"),
+    "ibrahim": ("ebraheem",),
 }
 SPACED_VARIANTS = {"abdel lah": "abdullah", "abdul lah": "abdullah"}
 HONORIFICS = set("mr mrs ms miss dr prof sir madam haji hajjah alhaji hajiya sheikh sheikha syed sayyid sayyida ustaadh ustadha hafiz hafiza".split())
 ARTICLES = set("al el bin bint ibn abu um umm".split())
-_VARIANT = {v: k for k, vs in VARIANTS.items() for v in (k, *vs.split())} | SPACED_VARIANTS
+_VARIANT = {v: k for k, vs in VARIANTS.items() for v in (k, *vs)} | SPACED_VARIANTS
 _RANGES = (("arabic", ((0x600, 0x6FF), (0x750, 0x77F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF))), ("cyrillic", ((0x400, 0x52F),)), ("greek", ((0x370, 0x3FF),)))
 
 _TEXT = ("unicode", "script", "latin", "plain_latin", "skeleton", "initials")

@@ -9,28 +9,28 @@ from pyspark.sql import functions as F
 
 # Canonical keys, and the aliases of each.
 KEYS = {
-    "name": "full_name, full name, person_name, person name, given_name, surname, family_name, first_name, last_name",
-    "aliases": "alias, nickname, also_known_as",
-    "age": "approximate_age, estimated_age, age_range",
-    "date_of_birth": "dob, birth_date, birth date, date of birth, birthday, born",
-    "government_id": "id, government id, gov_id, gov id, national_id, national id, aid_id, registration_number, registration number, identity_card, id_number, id number, passport",
-    "phone": "telephone, phone_number, phone number, mobile, cell, cellphone, contact_phone, contact number, tel",
-    "email": "e-mail, e_mail, mail, email_address, email address, contact_email",
-    "sex_gender": "sex, gender",
-    "language": "languages, spoken_languages",
-    "nationality": "citizenship",
-    "physical_descriptors": "",
-    "distinguishing_marks": "distinctive_features, distinctive features, scars, tattoos, marks, injury, injuries, medical_condition",
-    "clothing": "clothing_description, clothes, garment, wearing",
-    "family_member_names": "family_member, parent_name, mother_name, father_name, sibling_names, relative_names, relatives",
-    "home_address": "address, residence, home",
-    "last_known_location": "last_seen_location, location, last seen, seen_at",
-    "shelter_location": "shelter, hospital_location, camp_location, camp, hospital",
-    "last_seen_time": "timestamp, datetime_last_seen, time, datetime",
-    "timeline_event": "",
+    "name": ("full_name", "full name", "person_name", "person name", "given_name", "surname", "family_name", "first_name", "last_name"),
+    "aliases": ("alias", "nickname", "also_known_as"),
+    "age": ("approximate_age", "estimated_age", "age_range"),
+    "date_of_birth": ("dob", "birth_date", "birth date", "date of birth", "birthday", "born"),
+    "government_id": ("id", "government id", "gov_id", "gov id", "national_id", "national id", "aid_id", "registration_number", "registration number", "identity_card", "id_number", "id number", "passport"),
+    "phone": ("telephone", "phone_number", "phone number", "mobile", "cell", "cellphone", "contact_phone", "contact number", "tel"),
+    "email": ("e-mail", "e_mail", "mail", "email_address", "email address", "contact_email"),
+    "sex_gender": ("sex", "gender"),
+    "language": ("languages", "spoken_languages"),
+    "nationality": ("citizenship",),
+    "physical_descriptors": (),
+    "distinguishing_marks": ("distinctive_features", "distinctive features", "scars", "tattoos", "marks", "injury", "injuries", "medical_condition"),
+    "clothing": ("clothing_description", "clothes", "garment", "wearing"),
+    "family_member_names": ("family_member", "parent_name", "mother_name", "father_name", "sibling_names", "relative_names", "relatives"),
+    "home_address": ("address", "residence", "home"),
+    "last_known_location": ("last_seen_location", "location", "last seen", "seen_at"),
+    "shelter_location": ("shelter", "hospital_location", "camp_location", "camp", "hospital"),
+    "last_seen_time": ("timestamp", "datetime_last_seen", "time", "datetime"),
+    "timeline_event": (),
 }
-RELATIONSHIPS = "mother father parent sibling brother sister son daughter child spouse husband wife uncle aunt cousin grandmother grandfather guardian caretaker".split()
-IDENTIFIER_HINTS = "id identifier passport license card number phone tel mobile cell contact email mail dob birth birthday date address location home".split()
+RELATIONSHIPS = ("mother", "father", "parent", "sibling", "brother", "sister", "son", "daughter", "child", "spouse", "husband", "wife", "uncle", "aunt", "cousin", "grandmother", "grandfather", "guardian", "caretaker")
+IDENTIFIER_HINTS = ("id", "identifier", "passport", "license", "card", "number", "phone", "tel", "mobile", "cell", "contact", "email", "mail", "dob", "birth", "birthday", "date", "address", "location", "home")
 STRONG_KEYS = ("government_id", "phone", "email")
 SENSITIVE_KEYS = ("name", "date_of_birth", "government_id", "phone", "email", "home_address")
 
@@ -108,7 +108,7 @@ def mapped(c: Column, table: dict[str, str], default: Column | None = None) -> C
 
 def alias_table(spark: SparkSession) -> DataFrame:
     """(alias, key): every alias and every key itself."""
-    rows = [(a.strip(), k) for k, aliases in KEYS.items() for a in (k, *filter(None, aliases.split(",")))]
+    rows = [(a, k) for k, aliases in KEYS.items() for a in (k, *aliases)]
     return spark.createDataFrame(rows, "alias string, key string")
 
 

@@ -58,21 +58,24 @@ def claim_rules(claims: DataFrame) -> DataFrame:
 def contract_rules(contracts: DataFrame) -> DataFrame:
     """(contract, claim, rule) of violations of a contract as a whole. claim is null.
 
-    contracts: contract, classification, hard_conflicts, considered, routed (arrays), close_rivals, rivals, complete,
-    chain_valid, replay_valid, abstentions, n_sources, safety_notice.
+    contracts: contract, classification, routed_classification (null: no candidate), hard_conflicts, considered, routed,
+    close_rivals, rivals (arrays), block_conflicts, complete, chain_valid, replay_valid, n_abstentions, n_sources,
+    n_critical (counterfactuals over supporting evidence), safety_notice. A null complete, chain_valid or replay_valid was not looked at.
     """
     gap = lambda a, b: F.size(F.array_except(a, b)) > 0
     strong = F.col("classification") == "strong_candidate_for_review"
+    conflicting, candidate = F.size("hard_conflicts") > 0, F.col("routed_classification").isNotNull()
+    closed = conflicting & F.col("block_conflicts")
     tests = {
-        "EC-007": gap("hard_conflicts", "considered") | gap("hard_conflicts", "routed"),
+        "EC-007": gap("hard_conflicts", "considered") | gap("hard_conflicts", "routed") | closed,
         "EC-008": strong & gap("close_rivals", "rivals"),
         "EC-009": ~F.col("complete"),
-        "EC-012": (F.size("hard_conflicts") > 0) & (F.col("classification") != "conflicting_evidence"),
-        "EC-013": (F.col("classification") == "insufficient_evidence") & (F.size("abstentions") == 0),
+        "EC-012": candidate & ((F.col("routed_classification") != F.col("classification")) | (conflicting & (F.col("classification") != "conflicting_evidence")) | closed),
+        "EC-013": candidate & (F.col("classification") == "insufficient_evidence") & (F.col("n_abstentions") == 0),
         "EC-014": ~F.col("chain_valid"),
         "EC-015": ~F.col("replay_valid"),
         "EC-016": strong & (F.col("n_sources") < 2),
-        "EC-017": strong & (F.size("hard_conflicts") == 0) & (F.size("rivals") == 0) & (F.size("close_rivals") > 0),
+        "EC-017": strong & (F.col("n_critical") == 0),
         "EC-018": ~F.col("safety_notice"),
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(rule)) for rule, t in tests.items()]))

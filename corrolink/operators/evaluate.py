@@ -118,3 +118,104 @@ def safety_score(decided: DataFrame) -> DataFrame:
         F.count_if(same & merged).alias("true_links"), F.count_if(F.col("state") == "human_review_required").alias("human_review"),
     )
     return counts.withColumn("score", F.col("false_merges") * FALSE_MERGE + F.col("false_non_merges") * FALSE_NON_MERGE + F.col("true_links") * TRUE_LINK + F.col("human_review") * HUMAN_REVIEW)
+
+
+def operating_metrics(outputs: DataFrame) -> DataFrame:
+    """(metric_id, numerator, denominator, value) from (duration_ms, calls, failures, retries) of each output and its cited (cited, faithful) spans."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    sums = outputs.agg(F.count(F.lit(1)).cast("double").alias("n"), *[total(c).alias(c) for c in ("duration_ms", "calls", "failures", "retries", "cited", "faithful")])
+    row = lambda name, n, d, v: F.struct(F.lit(name).alias("metric_id"), n.alias("numerator"), d.alias("denominator"), v.alias("value"))
+    c, one = F.col, F.lit(1.0)
+    cells = [row("evidence_faithfulness", c("faithful"), c("cited"), percentage(c("faithful"), c("cited")))]
+    cells.append(row("average_duration_ms", F.round("duration_ms", 3), c("n"), F.when(c("n") > 0, F.round(c("duration_ms") / c("n"), 3)).otherwise(F.lit(0.0))))
+    cells += [row(name, c(column), one, c(column)) for name, column in (("model_calls", "calls"), ("failures", "failures"), ("retries", "retries"))]
+    return sums.select(F.inline(F.array(*cells)))
+
+
+def retrieval_metrics(pairs: DataFrame) -> DataFrame:
+    """One row of recalls and rates from (relation, retrieved, final, state) of every pair of the universe.
+
+    Recall at four stages: retrieved, kept by the cap, not ruled out, and recommended. The false merge rate is over the
+    pairs of different identities.
+    """
+    same, other = F.col("relation") == "same_identity", F.col("relation") == "different_identity"
+    state = F.coalesce("state", F.lit("not_evaluated"))
+    stages = {
+        "retrieved": F.col("retrieved"),
+        "kept": F.col("final"),
+        "open": F.col("final") & state.isin("link_recommended", "human_review_required"),
+        "recommended": F.col("final") & (state == "link_recommended"),
+    }
+    counts = pairs.agg(
+        F.count_if(same).alias("same"), F.count_if(other).alias("different"), *[F.count_if(same & F.coalesce(c, F.lit(False))).alias(k) for k, c in stages.items()],
+        F.count_if(other & F.col("final") & (state == "link_recommended")).alias("false_merges"), F.count_if(~F.coalesce("final", F.lit(False))).alias("not_evaluated"), F.count(F.lit(1)).alias("universe"),
+    )
+    share = lambda n, d: F.when(F.col(d) > 0, F.round(F.col(n) / F.col(d), 6)).otherwise(F.lit(0.0))
+    return counts.select("*", *[share(k, "same").alias(f"recall_{k}") for k in stages], share("false_merges", "different").alias("false_merge_rate"))
+
+
+def inconsistent(metrics: DataFrame) -> DataFrame:
+    """What a row of `retrieval_metrics` cannot be: a later stage with more pairs than an earlier one, parts above the whole."""
+    tests = {
+        "kept_over_retrieved": F.col("kept") > F.col("retrieved"),
+        "open_over_kept": F.col("open") > F.col("kept"),
+        "recommended_over_open": F.col("recommended") > F.col("open"),
+        "retrieved_over_same": F.col("retrieved") > F.col("same"),
+        "parts_over_universe": F.col("same") + F.col("different") > F.col("universe"),
+        "false_merges_over_different": F.col("false_merges") > F.col("different"),
+    }
+    return metrics.select(F.explode(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))).alias("problem"))
+
+
+# States that a pair with an expected block may end in, incidents whose evidence is a common name or a shared shelter, what must not stand in an audit log.
+AFTER_BLOCK = ("blocked_by_conflict", "do_not_link", "insufficient_evidence", "human_review_required")
+WEAK_INCIDENT = "COMMON|SHELTER"
+SENSITIVE = r"(?i)\bGOV-\d{5}\b|\b\d{3}[-.]?\d{4}\b|\b[\w.+-]+@[\w-]+\.[\w.]+\b|\bapi[_-]?key\b|\bBearer\s|\bsecret\b"
+
+
+def invariants(pairs: DataFrame) -> DataFrame:
+    """(invariant, offending, holds): the safety invariants over decided pairs, in one pass.
+
+    pairs: incident, expected, state, supporting (array), blocking (array), unique_id, same, retained.
+    """
+    linked = F.col("state") == "link_recommended"
+    bad = {
+        "blocked_cannot_be_upgraded": (F.col("expected") == "blocked_by_conflict") & ~F.col("state").isin(*AFTER_BLOCK),
+        "common_name_only_not_recommended": F.col("incident").rlike(WEAK_INCIDENT) & linked,
+        "unique_id_survives_caps": F.col("unique_id") & F.col("same") & ~F.col("retained"),
+        "audit_no_sensitive_values": F.concat_ws(" ", "incident", "expected").rlike(SENSITIVE),
+        "recommended_has_evidence": linked & (F.size("supporting") == 0),
+        "blocking_has_policy_ids": (F.col("state") == "blocked_by_conflict") & (F.size("blocking") == 0),
+    }
+    counts = pairs.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in bad.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("invariant"), F.col(k).alias("offending"), (F.col(k) == 0).alias("holds")) for k in bad])))
+
+
+def holdout_metrics(cases: DataFrame) -> DataFrame:
+    """(split, metric_id, numerator, denominator, value) of nine ratios.
+
+    cases: split, relation, positive, pair_right, released, human_review, replayed, audited, critical, rules (array), n_rules.
+    """
+    same, other, released = F.col("relation") == "same_identity", F.col("relation") == "different_identity", F.col("released")
+    every, unsafe = F.lit(True), F.col("released") & F.col("positive")
+    parts = {
+        "top1_recall": (same, F.col("positive") & F.col("pair_right")),
+        "top1_precision_among_releases": (unsafe, same),
+        "different_identity_withheld": (other, ~unsafe),
+        "same_identity_withheld": (same, ~released),
+        "human_review": (every, F.col("human_review")),
+        "replay_success": (every, F.col("replayed")),
+        "audit_verification": (every, F.col("audited")),
+        "record_removal_change": (every, F.col("critical")),
+    }
+    counts = cases.groupBy("split").agg(*[x for k, (of, hit) in parts.items() for x in (F.count_if(of & hit).alias(f"{k}__n"), F.count_if(of).alias(f"{k}__d"))], F.size(F.array_distinct(F.flatten(F.collect_set("rules")))).cast("long").alias("contract_rule_coverage__n"), F.max("n_rules").cast("long").alias("contract_rule_coverage__d"))
+    cells = [F.struct(F.lit(k).alias("metric_id"), F.col(f"{k}__n").alias("numerator"), F.col(f"{k}__d").alias("denominator")) for k in (*parts, "contract_rule_coverage")]
+    return counts.select("split", F.inline(F.array(*cells))).withColumn("value", percentage(F.col("numerator"), F.col("denominator")))
+
+
+def composition(records: DataFrame, by: list[str]) -> DataFrame:
+    """(dimension, value, n, share): how a data set falls into the values of each dimension, in one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in by]))
+    counted = records.select(cells.alias("c")).groupBy("c.dimension", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy("dimension").agg(F.sum("n").alias("total"))
+    return counted.join(F.broadcast(totals), "dimension").select("dimension", "value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))

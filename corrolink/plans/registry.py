@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, linkage, records
+from . import evidence, linkage, reasoning, records
 
-PARTS = (linkage, evidence, records)
+PARTS = (linkage, evidence, records, reasoning)
 
 
 def queries() -> dict:

@@ -51,15 +51,69 @@ def listed(artifacts: DataFrame, created: str, tie: str, limit: int) -> DataFram
     return artifacts.orderBy(F.desc(created), F.desc(tie)).limit(max(1, min(1000, limit)))
 
 
-def append_new(spark: SparkSession, bundle: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key is not stored yet."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        bundle = bundle.join(spark.read.parquet(path).select(key), key, "left_anti")
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def append_new(spark: SparkSession, bundle: DataFrame, path: str, key: str, content: str | None = None) -> None:
+    """Append rows whose key is not stored yet. With `content`, a stored key with other content stops the write."""
+    if exists(spark, path):
+        stored = spark.read.parquet(path)
+        if content and not bundle.join(stored.select(key, F.col(content).alias("_stored")), key).where(~F.col(content).eqNullSafe(F.col("_stored"))).isEmpty():
+            raise ValueError(f"a stored {key} has other {content}")
+        bundle = bundle.join(stored.select(key), key, "left_anti")
     bundle.write.mode("append").parquet(path)
 
 
+def upsert(spark: SparkSession, rows: DataFrame, path: str, version: str) -> None:
+    """Append rows as the next version of their keys; `latest` reads the last one of each."""
+    now = (spark.read.parquet(path).agg(F.max(version)).first()[0] or 0) + 1 if exists(spark, path) else 1
+    rows.withColumn(version, F.lit(now).cast("long")).write.mode("append").parquet(path)
+
+
+def looked_up(df: DataFrame, **wanted) -> DataFrame:
+    """Rows with the given values; the filter reaches the scan."""
+    for column, value in wanted.items():
+        df = df.where(F.col(column).eqNullSafe(F.lit(value)))
+    return df
+
+
+def chain_tail(chain: DataFrame, run: str = "run") -> DataFrame:
+    """(run, sequence, event_hash): the last event of each run, which the next one is chained to."""
+    return chain.groupBy(run).agg(F.max_by("event_hash", "sequence").alias("event_hash"), F.max("sequence").alias("sequence"))
+
+
+def replaced_runs(stored: DataFrame, fresh: DataFrame, run: str = "run") -> DataFrame:
+    """The stored rows with those of the runs in `fresh` replaced whole."""
+    return stored.join(fresh.select(run).distinct(), run, "left_anti").unionByName(fresh)
+
+
+def unknown_fields(spark: SparkSession, path: str, known: set[str]) -> list[str]:
+    """Top-level fields of a JSON document that a request may not have."""
+    return sorted(set(spark.read.option("multiLine", True).json(path).columns) - known)
+
+
+def scenario(records: DataFrame, ids: DataFrame, key: str = "record_id") -> DataFrame:
+    """The records that a scenario, case or demo names."""
+    return records.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def unassigned(truth: DataFrame, identity: str, under_specified: str) -> DataFrame:
+    """Assignments that do not have exactly one of identity and under-specified; must be empty."""
+    return truth.where(F.col(identity).isNotNull() == F.coalesce(under_specified, F.lit(False)))
+
+
+def prohibited(labels: DataFrame, column: str, words: tuple[str, ...]) -> DataFrame:
+    """Rows whose label holds a word that no label may hold; must be empty."""
+    return labels.where(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(F.col(column)), w)))
+
+
+def replay_stable(df: DataFrame, volatile: tuple[str, ...] = ("decision_id", "created_at")) -> DataFrame:
+    """The columns that a replay must give again."""
+    return df.drop(*volatile)
+
+
 def pending(work: DataFrame, checkpoint: DataFrame, key: str) -> DataFrame:
     """Work that no successful checkpoint row covers."""
     return work.join(checkpoint.where("status = 'ok'").select(key), key, "left_anti")
@@ -82,11 +136,23 @@ def assignment_digest(assigned: DataFrame, record: str, identity: str, scope: st
 
 
 def export(df: DataFrame, path: str, kind: str) -> None:
-    """Write json or csv; array columns of a csv are joined by bars."""
-    if kind == "csv":
+    """Write json, csv or a Markdown table; array columns of a csv or table are joined by bars."""
+    if kind == "md":
+        cells = [F.coalesce(F.array_join(c, " / ") if t.startswith("array") else F.col(c).cast("string"), F.lit("")) for c, t in df.dtypes]
+        row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(c, r"[|\n]", " ") for c in cells]), F.lit(" |"))
+        head = df.sparkSession.createDataFrame([(f"| {' | '.join(df.columns)} |",), (f"|{'-|' * len(df.columns)}",)], "value string")
+        head.coalesce(1).write.text(f"{path}/head")
+        df.select(row.alias("value")).write.text(f"{path}/rows")
+    elif kind == "csv":
         df = df.select(*[F.array_join(c, "|").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes])
         df.write.option("header", True).csv(path)
     elif kind == "json":
         df.write.json(path)
     else:
         raise ValueError(f"unknown export kind {kind}")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n_bytes, sha256) of every file below a path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

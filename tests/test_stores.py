@@ -84,3 +84,47 @@ def test_all_rules_give_keys(spark):
     assert set(found[(1, 2)]) == {"phone_full_exact", "phone_local_international_compatible", "phone_suffix", "email_exact", "government_id", "name_phonetic_plus_age", "name_transliteration_skeleton", "family_member_plus_location"}
     assert "phone_suffix" in found[(1, 3)] and "phone_full_exact" not in found[(1, 3)]
     assert found.get((1, 4), []) == ["phone_suffix"]  # equal national digits, but another country
+
+
+def test_a_key_with_other_content_stops_the_write(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "bundle")
+    stores.append_new(spark, spark.createDataFrame([(1, "a")], "run int, v string"), path, "run", "v")
+    stores.append_new(spark, spark.createDataFrame([(1, "a"), (2, None)], "run int, v string"), path, "run", "v")
+    with pytest.raises(ValueError, match="other v"):
+        stores.append_new(spark, spark.createDataFrame([(1, "b")], "run int, v string"), path, "run", "v")
+    assert sorted(r.run for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_upsert_and_lookup(spark, tmp_path):
+    path = str(tmp_path / "artifacts")
+    for rows in ([(1, "a"), (2, "b")], [(1, "c")]):
+        stores.upsert(spark, spark.createDataFrame(rows, "key int, v string"), path, "version")
+    last = stores.latest(spark.read.parquet(path), ["key"], "version", "v")
+    assert {(r.key, r.v) for r in last.collect()} == {(1, "c"), (2, "b")}
+    assert [r.v for r in stores.looked_up(last, key=1).collect()] == ["c"]
+
+
+def test_export_of_tables_and_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["a", "b"], "x|y"), (2, None, None)], "id int, tags array<string>, t string")
+    stores.export(df.coalesce(1), str(tmp_path / "out"), "md")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out/rows")).collect()) == ["| 1 | a / b | x y |", "| 2 |  |  |"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "out/head")).collect()] == ["| id | tags | t |", "|-|-|-|"]
+    found = stores.manifest(spark, str(tmp_path / "out/rows")).where("file like 'part%'").collect()
+    assert found and all(len(r.sha256) == 64 and r.n_bytes > 0 for r in found)
+
+
+def test_unknown_fields_and_replay_stable(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"records": [], "incident": {}, "extra": 1}))
+    assert stores.unknown_fields(spark, str(tmp_path / "r.json"), {"records", "incident"}) == ["extra"]
+    assert stores.replay_stable(spark.range(1).selectExpr("id", "'x' as decision_id", "1 as created_at")).columns == ["id"]
+
+
+def test_metrics_that_cannot_be(spark):
+    from corrolink.operators import evaluate
+
+    rows = [("same_identity", True, True, "link_recommended"), ("different_identity", True, True, "link_recommended"), ("genuinely_ambiguous", False, False, None)]
+    m = evaluate.retrieval_metrics(spark.createDataFrame(rows, "relation string, retrieved boolean, final boolean, state string"))
+    assert m.first()["false_merge_rate"] == 1.0 and evaluate.inconsistent(m).count() == 0
+    assert evaluate.inconsistent(m.withColumn("kept", F.lit(5))).first()["problem"] == "kept_over_retrieved"
