@@ -1,7 +1,8 @@
 """Field comparators: two values of a field give STRUCT<class, code, score, blocks>.
 
 `score` is a share of the policy's weight. A value that is missing on either side gives missing_both,
-missing_left or missing_right and no score, never a SQL null.
+missing_left or missing_right and no score, never a SQL null. What a comparator reads out of a value
+(`read`: both sides') can be given, so that it is found once for a record and not for each of its pairs.
 """
 
 from __future__ import annotations
@@ -34,14 +35,18 @@ def plain(c: Column) -> Column:
     return F.lower(text.squeeze(c))
 
 
-def exact(a: Column, b: Column, p: Policy) -> Column:
-    """Equal after case and blanks, or a conflict that blocks if the policy says so."""
-    return with_missing(a, b, p, F.when(plain(a) == plain(b), result("exact_match", f"{p.name}_exact", 1, p)).otherwise(result("conflict", f"{p.name}_mismatch", 0, p, p.blocks)))
+Read = tuple[Column, Column] | None
 
 
-def age(a: Column, b: Column, p: Policy, both_exact: Column | None = None) -> Column:
-    """By years of difference. A strong conflict blocks only where both ages are exact."""
-    x, y = text.age(a), text.age(b)
+def exact(a: Column, b: Column, p: Policy, read: Read = None) -> Column:
+    """Equal after case and blanks (`plain`), or a conflict that blocks if the policy says so."""
+    x, y = read or (plain(a), plain(b))
+    return with_missing(a, b, p, F.when(x == y, result("exact_match", f"{p.name}_exact", 1, p)).otherwise(result("conflict", f"{p.name}_mismatch", 0, p, p.blocks)))
+
+
+def age(a: Column, b: Column, p: Policy, both_exact: Column | None = None, read: Read = None) -> Column:
+    """By years of difference. A strong conflict blocks only where both ages are exact. Reads `text.age`."""
+    x, y = read or (text.age(a), text.age(b))
     gap = F.abs(x - y)
     hard = result("strong_conflict", "age_strong_conflict", 0, p, True)
     if both_exact is not None:
@@ -57,8 +62,10 @@ def age(a: Column, b: Column, p: Policy, both_exact: Column | None = None) -> Co
     )
 
 
-def date(a: Column, b: Column, p: Policy) -> Column:
-    """Partial dates agree as far as both go; a part that differs blocks."""
+def date(a: Column, b: Column, p: Policy, read: Read = None) -> Column:
+    """Partial dates agree as far as both go; a part that differs blocks. Reads `text.date_parts`."""
+    if read:
+        return with_missing(a, b, p, _date(*read, p))
     parts = F.struct(text.date_parts(a).alias("x"), text.date_parts(b).alias("y"))
     return with_missing(a, b, p, text.let(parts, lambda t: _date(t["x"], t["y"], p)))
 
@@ -98,23 +105,25 @@ def email(a: Column, b: Column, p: Policy) -> Column:
     return with_missing(a, b, p, F.when(x.isNull() | y.isNull(), result("insufficient", "email_invalid", 0, p)).when(x == y, result("exact_match", "email_exact", 1, p)).otherwise(result("conflict", "email_mismatch", 0, p)))
 
 
-def overlap(a: Column, b: Column, p: Policy) -> Column:
-    """Token sets: none in common conflicts, Jaccard of 0.6 is compatible, less is partial."""
-    x, y = text.tokens(a), text.tokens(b)
+def overlap(a: Column, b: Column, p: Policy, read: Read = None) -> Column:
+    """Token sets: none in common conflicts, Jaccard of 0.6 is compatible, less is partial. Reads `text.tokens`."""
+    x, y = read or (text.tokens(a), text.tokens(b))
     shared, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     return with_missing(a, b, p, F.when(shared == 0, result("conflict", "no_overlap", 0, p)).when(5 * shared >= 3 * union, result("compatible", "high_overlap", 1, p)).otherwise(result("partial_match", "some_overlap", 0.4, p)))
 
 
-def place(a: Column, b: Column, p: Policy) -> Column:
+def place(a: Column, b: Column, p: Policy, read: Read = None, tokens: Read = None) -> Column:
+    """Equal, or a token in common. Reads `plain` and `text.tokens`."""
+    (x, y), (s, t) = read or (plain(a), plain(b)), tokens or (text.tokens(a), text.tokens(b))
     return with_missing(
         a, b, p,
-        F.when(plain(a) == plain(b), result("exact_match", "same_place", 1, p)).when(F.arrays_overlap(text.tokens(a), text.tokens(b)), result("partial_match", "place_overlap", 0.3, p)).otherwise(result("conflict", "different_place", 0, p)),
+        F.when(x == y, result("exact_match", "same_place", 1, p)).when(F.arrays_overlap(s, t), result("partial_match", "place_overlap", 0.3, p)).otherwise(result("conflict", "different_place", 0, p)),
     )
 
 
-def time_window(a: Column, b: Column, p: Policy) -> Column:
-    """The right one may be later, or at most 30 minutes earlier; so the order of the two matters."""
-    x, y = text.clock_minutes(a), text.clock_minutes(b)
+def time_window(a: Column, b: Column, p: Policy, read: Read = None) -> Column:
+    """The right one may be later, or at most 30 minutes earlier; so the order of the two matters. Reads `text.clock_minutes`."""
+    x, y = read or (text.clock_minutes(a), text.clock_minutes(b))
     return with_missing(a, b, p, F.when(x.isNull() | y.isNull(), result("insufficient", "time_unparsable", 0, p)).when((y >= x) | (F.abs(y - x) <= 30), result("compatible", "time_plausible", 1, p)).otherwise(result("conflict", "time_implausible", 0, p)))
 
 

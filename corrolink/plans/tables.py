@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import policy
+from ..functions import policy, text
 from ..operators import blocking, compare, decide
 
 
@@ -59,18 +59,30 @@ def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compared_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scope, a, b, comparisons): all pairs of one customer's orders, compared field by field in policy order."""
     fields = ["date_of_birth", "age", "government_id", "language", "last_known_location"]
-    r = order_records(spark, sf_dir)
-    side = lambda s: r.select("scope", F.col("record").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in fields])
+    # what the comparators read is found once for each record, below the join
+    reads = {
+        "dob_parts": text.date_parts(F.col("date_of_birth")),
+        "years": text.age(F.col("age")),
+        "id_plain": compare.plain(F.col("government_id")),
+        "words": text.tokens(F.col("language")),
+        "place_plain": compare.plain(F.col("last_known_location")),
+        "place_words": text.tokens(F.col("last_known_location")),
+    }
+    # dealt out by scope before the self-join: pairs outnumber records, so their tasks must not be those of a small scan
+    r = order_records(spark, sf_dir).withColumns(reads).repartition("scope")
+    side = lambda s: r.select("scope", F.col("record").alias(s), *[F.col(f).alias(f"{s}_{f}") for f in (*fields, *reads)])
     met = side("a").join(side("b"), "scope").where("a < b")
-    ab = lambda f: (F.col(f"a_{f}"), F.col(f"b_{f}"), POLICY[f])
+    ab = lambda f: (F.col(f"a_{f}"), F.col(f"b_{f}"))
     outcomes = {
-        "date_of_birth": compare.date(*ab("date_of_birth")),
-        "age": compare.age(*ab("age")),
-        "government_id": compare.exact(*ab("government_id")),
-        "language": compare.overlap(*ab("language")),
-        "last_known_location": compare.place(*ab("last_known_location")),
+        "date_of_birth": compare.date(*ab("date_of_birth"), POLICY["date_of_birth"], read=ab("dob_parts")),
+        "age": compare.age(*ab("age"), POLICY["age"], read=ab("years")),
+        "government_id": compare.exact(*ab("government_id"), POLICY["government_id"], read=ab("id_plain")),
+        "language": compare.overlap(*ab("language"), POLICY["language"], read=ab("words")),
+        "last_known_location": compare.place(*ab("last_known_location"), POLICY["last_known_location"], read=ab("place_plain"), tokens=ab("place_words")),
     }
-    cells = F.array(*[compare.compared(f, POLICY[f].reliability, o) for f, o in outcomes.items()])
+    # outcomes are columns of their own first: named several times below, each is found once
+    met = met.withColumns({f"o_{f}": o for f, o in outcomes.items()})
+    cells = F.array(*[compare.compared(f, POLICY[f].reliability, F.col(f"o_{f}")) for f in fields])
     return met.select("scope", "a", "b", *[F.col(f"{s}_{f}") for s in "ab" for f in fields], cells.alias("comparisons"))
 
 
