@@ -167,12 +167,13 @@ def mapped(df: DataFrame, fn, schema: str, size: int = TEXT_BYTES, per_task: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = fn() if per_task else fn
         try:
-            for batch in by_bytes(batches, size):
+            for k, batch in enumerate(by_bytes(batches, size)):
                 out = own(batch)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
                 del batch, out
-                give_back(collect=False)
+                if k % 8 == 7:
+                    give_back(collect=False)
         finally:
             del own
             give_back()

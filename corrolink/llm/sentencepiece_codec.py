@@ -35,7 +35,7 @@ N_BEST = 3
 #: Stands for a blank mark that a text itself holds; no chunk is so long and unknown.
 OWN_MARK = "\0" + MARK
 #: Chunks remembered by a task; beyond that only those that came again stay.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 #: Bytes of text whose chunks are numbered and searched together.
 TEXT_BYTES = 1 << 20
 
