@@ -153,6 +153,8 @@ def shared_bitmap(docs: DataFrame, members: DataFrame, n: int = N) -> np.ndarray
     out = np.zeros((1 << bits, 1 << (all_bits - bits - 3)), dtype=np.uint8)
     for r, data in zip(marked["r"].to_pylist(), marked["h"], strict=True):
         out[r] = np.frombuffer(data.as_buffer(), dtype=np.uint8)
+    del marked
+    common.give_back()
     return out.ravel()
 
 
@@ -188,6 +190,7 @@ def postings(docs: DataFrame, seen: np.ndarray, percent: int = PERCENT, n: int =
     """(token, key, size, place, alone, s1, s2): the shared shingles in the first-order prefix of every set that can have a partner; written."""
     common.small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(seen)  # 2^MOST_BITS bits at most
+    del seen
     nothing = np.zeros(0, dtype=np.int64)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -207,6 +210,7 @@ def postings(docs: DataFrame, seen: np.ndarray, percent: int = PERCENT, n: int =
     found = common.mapped(docs.selectExpr("text as t"), run, "token bigint, key bigint, size bigint, place bigint, alone bigint, s1 bigint, s2 bigint")
     out = common.written(found, "postings")
     held.destroy()
+    common.give_back()
     return out
 
 

@@ -79,7 +79,7 @@ def training_rows(docs: DataFrame, sample: DataFrame, featurise) -> tuple[list[l
         return {"doc_id": batch.column("doc_id"), "idx": [r[0].astype(np.int32).tobytes() for r in rows], "val": [r[1].astype(np.float32).tobytes() for r in rows]} | {n: batch.column(n) for n in names}
 
     table = common.mapped(kept, run, "doc_id bigint, idx binary, val binary, " + ", ".join(f"{n} int" for n in names)).toArrow().sort_by("doc_id")
-    rows = [(np.frombuffer(i.as_buffer(), dtype=np.int32).astype(np.int64), np.frombuffer(v.as_buffer(), dtype=np.float32).astype(np.float64)) for i, v in zip(table["idx"], table["val"], strict=True)]
+    rows = [(np.frombuffer(i.as_buffer(), dtype=np.int32), np.frombuffer(v.as_buffer(), dtype=np.float32)) for i, v in zip(table["idx"], table["val"], strict=True)]
     return rows, np.array([table[n].to_numpy() for n in names], dtype=np.float64).reshape(len(names), -1), table["doc_id"].to_numpy()
 
 
@@ -87,7 +87,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int
     """Weights and bias, learnt from the labelled rows that are not held out."""
     common.small_batches(docs.sparkSession)
     data, y, _ = training_rows(docs, sampled_labels(labels, column, rows), lambda t: all_features(t, params.bits))
-    return linear.train(data, y[0], params)
+    model = linear.train(data, y[0], params)
+    del data
+    common.give_back()  # the driver keeps the model alone
+    return model
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], bits: int = PARAMS.bits, score: str = "_score") -> DataFrame:

@@ -127,7 +127,10 @@ def drawn_categories(rows: list[linear.Row], toxic: np.ndarray, bits: int = PARA
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, params: linear.Params = PARAMS) -> Chain:
     common.small_batches(docs.sparkSession)
     data, y, _ = training_rows(docs, sampled_labels(labels, "toxic", rows), lambda t: all_features(t, params.bits))
-    return Chain(CATEGORIES, params).fit(data, drawn_categories(data, y[0], params.bits), draw=lambda rows, toxic: drawn_categories(rows, toxic, params.bits))
+    chain = Chain(CATEGORIES, params).fit(data, drawn_categories(data, y[0], params.bits), draw=lambda rows, toxic: drawn_categories(rows, toxic, params.bits))
+    del data
+    common.give_back()
+    return chain
 
 
 def scored(docs: DataFrame, chain: Chain, id_col: str = "doc_id") -> DataFrame:
