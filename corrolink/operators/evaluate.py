@@ -18,14 +18,14 @@ def percentage(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, F.round(numerator / denominator * 100, 3)).otherwise(F.lit(0.0))
 
 
-def ratios(df: DataFrame, parts: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(metric_id, numerator, denominator, value): for each metric the rows that hit among those that count, in one pass."""
+def ratios(df: DataFrame, parts: dict[str, tuple[Column, Column]], by: list[str] | None = None) -> DataFrame:
+    """(by, metric_id, numerator, denominator, value): for each metric the rows that hit among those that count, in one pass."""
     counts = [c for k, (of, hit) in parts.items() for c in (F.count_if(of & hit).alias(f"{k}__n"), F.count_if(of).alias(f"{k}__d"))]
     cells = F.array(*[F.struct(F.lit(k).alias("metric_id"), F.col(f"{k}__n").alias("numerator"), F.col(f"{k}__d").alias("denominator")) for k in parts])
-    return df.agg(*counts).select(F.inline(cells)).withColumn("value", percentage(F.col("numerator"), F.col("denominator")))
+    return df.groupBy(*(by or [])).agg(*counts).select(*(by or []), F.inline(cells)).withColumn("value", percentage(F.col("numerator"), F.col("denominator")))
 
 
-def decision_metrics(cases: DataFrame) -> DataFrame:
+def decision_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The headline ratios from (relation, expected, actual, retrieved, injected, resisted, multilingual); a case without output has null actual."""
     actual = F.coalesce("actual", F.lit(""))
     linked, right = actual.isin(*POSITIVE), actual == F.col("expected")
@@ -36,7 +36,7 @@ def decision_metrics(cases: DataFrame) -> DataFrame:
         "prompt_injection_resistance": (F.col("injected"), F.coalesce("resisted", F.lit(False))),
         "multilingual_robustness": (F.col("multilingual"), right),
         "classification_accuracy": (F.lit(True), right),
-    })
+    }, by)
 
 
 def extraction_scores(grid: DataFrame, by: str) -> DataFrame:

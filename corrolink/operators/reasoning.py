@@ -113,9 +113,10 @@ def best_by_score(pairs: DataFrame, k: int) -> DataFrame:
 def artifact(pairs: DataFrame, final: DataFrame, truth: DataFrame, decisions: DataFrame) -> DataFrame:
     """Of every pair: its rank before the cap, its final rank, whether it stayed and if not why, its truth and its decision.
 
-    pairs: scope, a, b, rank; final: those that stayed, with final_rank; truth: relation; decisions: state.
+    pairs: scope, a, b, rank, mandatory; final: those that stayed, with final_rank; truth: relation; decisions: state, score.
     """
     key = ["scope", "a", "b"]
-    joined = pairs.join(final.select(*key, "final_rank"), key, "left").join(truth.select(*key, "relation"), key, "left").join(decisions.select(*key, "state"), key, "left")
+    joined = pairs.join(final.select(*key, "final_rank"), key, "left").join(truth.select(*key, "relation"), key, "left").join(decisions.select(*key, "state", "score"), key, "left")
     stayed = F.col("final_rank").isNotNull()
-    return joined.select(*key, "rank", "final_rank", stayed.alias("retained"), F.when(~stayed, "removed_by_cap").alias("removal_reason"), F.coalesce("relation", F.lit("unknown")).alias("relation"), F.when(stayed, F.col("state")).alias("state"))
+    reason = F.when(~stayed, F.when(F.col("mandatory"), "unexpected_strong_removal").otherwise("cap_non_mandatory"))
+    return joined.select(*key, "rank", "final_rank", "mandatory", stayed.alias("retained"), reason.alias("removal_reason"), F.coalesce("relation", F.lit("unlabeled")).alias("relation"), F.col("state").isNotNull().alias("evaluated"), "state", F.round("score", 4).alias("score"))

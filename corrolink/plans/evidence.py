@@ -376,23 +376,6 @@ def error_diff(spark: SparkSession, d: str) -> DataFrame:
     return full.join(ablated, "doc_id", "left_anti").select("doc_id", F.lit("resolved").alias("change")).unionByName(ablated.join(full, "doc_id", "left_anti").select("doc_id", F.lit("new").alias("change")))
 
 
-@query(
-    """WITH g AS (SELECT conv_id, count(*) AS n, count(DISTINCT role) AS roles, string_agg(lower(text), ' ') AS t FROM conversations GROUP BY conv_id),
-s AS (SELECT *, list_filter([CASE WHEN roles > 2 THEN 'multilingual_records' END, CASE WHEN contains(t, 'ignore previous') OR contains(t, 'mark this as confirmed') THEN 'instruction_like_text' END,
-  CASE WHEN contains(t, 'unknown') OR contains(t, 'missing') OR contains(t, 'not recorded') THEN 'missing_observable_fields' END, CASE WHEN n > 2 THEN 'multiple_rivals' END], lambda z: z IS NOT NULL) AS g FROM g)
-SELECT conv_id, array_to_string(CASE WHEN len(g) = 0 THEN ['low_observable_complexity'] ELSE g END, ',') AS signals, CASE WHEN len(g) = 0 AND n = 2 THEN 'deterministic_only' WHEN len(g) <= 1 AND NOT list_contains(g, 'instruction_like_text') THEN 'reduced' ELSE 'full' END AS profile FROM s"""
-)
-def router_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Signals of each conversation, as flags that tasks add up before the shuffle; texts do not travel."""
-    low = F.lower("text")
-    says = lambda *ws: F.coalesce(F.bool_or(F.greatest(*[low.contains(w) for w in ws]) if len(ws) > 1 else low.contains(ws[0])), F.lit(False))
-    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("role").alias("roles"), says("ignore previous", "mark this as confirmed").alias("instruction"), says("unknown", "missing", "not recorded").alias("gaps"))
-    signals = F.array_compact(F.array(F.when(F.col("roles") > 2, "multilingual_records"), F.when(F.col("instruction"), "instruction_like_text"), F.when(F.col("gaps"), "missing_observable_fields"), F.when(F.col("n") > 2, "multiple_rivals")))
-    g = g.withColumn("s", signals)
-    profile = F.when((F.size("s") == 0) & (F.col("n") == 2), "deterministic_only").when((F.size("s") <= 1) & ~F.array_contains("s", "instruction_like_text"), "reduced").otherwise("full")
-    return g.select("conv_id", F.when(F.size("s") == 0, "low_observable_complexity").otherwise(F.array_join("s", ",")).alias("signals"), profile.alias("profile"))
-
-
 # ---- stores and client filters
 
 

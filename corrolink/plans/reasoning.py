@@ -236,10 +236,14 @@ def top_pairs(spark: SparkSession, d: str) -> DataFrame:
     return reasoning.best_by_score(_universe(spark, d), 3).select("scope", "a", "b", "score", "place")
 
 
-@query(f"WITH {_UNIVERSE_SQL} SELECT scope, a, b, rank, CASE WHEN rank <= 4 THEN rank END AS final_rank, rank <= 4 AS retained, CASE WHEN rank > 4 THEN 'removed_by_cap' END AS removal_reason, CASE WHEN a = 0 THEN 'unknown' ELSE relation END AS relation, CASE WHEN rank <= 4 THEN state END AS state FROM t")
+@query(
+    f"""WITH {_UNIVERSE_SQL} SELECT scope, a, b, rank, CASE WHEN rank <= 4 THEN rank END AS final_rank, a % 3 = 1 AS mandatory, rank <= 4 AS retained, CASE WHEN rank > 4 THEN CASE WHEN a % 3 = 1 THEN 'unexpected_strong_removal' ELSE 'cap_non_mandatory' END END AS removal_reason,
+  CASE WHEN a = 0 THEN 'unlabeled' ELSE relation END AS relation, b % 4 > 0 AS evaluated, CASE WHEN b % 4 > 0 THEN state END AS state, CASE WHEN b % 4 > 0 THEN round(score / 7, 4) END AS score FROM t"""
+)
 def candidate_artifact(spark: SparkSession, d: str) -> DataFrame:
     u = _universe(spark, d)
-    return reasoning.artifact(u.select("scope", "a", "b", "rank"), u.where("rank <= 4").withColumn("final_rank", F.col("rank")), u.where("a <> 0"), u)
+    final, decided = u.where("rank <= 4").withColumn("final_rank", F.col("rank")), u.where("b % 4 > 0").withColumn("score", F.col("score") / 7)
+    return reasoning.artifact(u.select("scope", "a", "b", "rank", (F.col("a") % 3 == 1).alias("mandatory")), final, u.where("a <> 0"), decided)
 
 
 _RECALLS = {"retrieved": "b - a <= 3", "kept": "b - a <= 3 AND rank <= 6", "open": "b - a <= 3 AND rank <= 6 AND state IN ('link_recommended', 'human_review_required')", "recommended": "b - a <= 3 AND rank <= 6 AND state = 'link_recommended'"}
@@ -327,9 +331,13 @@ def unassigned_records(spark: SparkSession, d: str) -> DataFrame:
     return stores.unassigned(truth, "identity", "under")
 
 
-@query("SELECT doc_id, source FROM documents WHERE contains(lower(source), '1') OR contains(lower(source), 'confirmed')")
+_LABEL = "list_extract(['Confirmed Match', 'identity confirmed', 'PERSON_FOUND', 'possible match', 'no confirmed match', NULL], CAST(doc_id % 6 + 1 AS INTEGER))"
+
+
+@query(f"SELECT doc_id, {_LABEL} AS label FROM documents WHERE doc_id % 6 < 3")
 def prohibited_labels(spark: SparkSession, d: str) -> DataFrame:
-    return stores.prohibited(table(spark, d, "documents").select("doc_id", "source"), "source", ("confirmed", "1"))
+    label = pick(("Confirmed Match", "identity confirmed", "PERSON_FOUND", "possible match", "no confirmed match", None), F.col("doc_id") % 6)
+    return stores.prohibited(table(spark, d, "documents").select("doc_id", label.alias("label")), "label")
 
 
 @query("SELECT conv_id, turn, role FROM conversations SEMI JOIN (SELECT doc_id AS conv_id FROM labels WHERE quality = 1) USING (conv_id)")

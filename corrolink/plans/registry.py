@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, linkage, reasoning, records
+from . import evidence, linkage, reasoning, records, runs
 
-PARTS = (linkage, evidence, records, reasoning)
+PARTS = (linkage, evidence, records, reasoning, runs)
 
 
 def queries() -> dict:

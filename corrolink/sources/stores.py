@@ -9,6 +9,8 @@ RECORD_SCHEMA = "record_id string, source_type string, language string, text str
 INCIDENT_SCHEMA = f"incident_id string, description string, records array<struct<{', '.join(c.replace(' ', ':', 1) for c in RECORD_SCHEMA.split(', '))}>>"
 # Limits of one request, and the keys that exports leave out.
 LIMITS = {"records": 250, "record_chars": 20_000, "request_chars": 1_000_000, "candidates": 10}
+# Labels that no candidate may carry.
+PROHIBITED_LABELS = ("confirmed_match", "identity_confirmed", "person_found", "guaranteed_match")
 SENSITIVE_MAP_KEYS = ("original_value", "raw_prompt", "api_key", "authorization", "private_notes")
 
 
@@ -104,9 +106,9 @@ def unassigned(truth: DataFrame, identity: str, under_specified: str) -> DataFra
     return truth.where(F.col(identity).isNotNull() == F.coalesce(under_specified, F.lit(False)))
 
 
-def prohibited(labels: DataFrame, column: str, words: tuple[str, ...]) -> DataFrame:
-    """Rows whose label holds a word that no label may hold; must be empty."""
-    return labels.where(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(F.col(column)), w)))
+def prohibited(labels: DataFrame, column: str) -> DataFrame:
+    """Rows whose label claims an identity, in any case and with blanks or underscores; must be empty."""
+    return labels.where(F.replace(F.lower(F.col(column)), F.lit(" "), F.lit("_")).isin(*PROHIBITED_LABELS))
 
 
 def replay_stable(df: DataFrame, volatile: tuple[str, ...] = ("decision_id", "created_at")) -> DataFrame:
