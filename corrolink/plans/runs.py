@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import runs
+from ..operators import benchmark_fields, runs
 from .evidence import _CASES_SQL, _METRICS, _cases
 from .reasoning import _STATES, _UNIVERSE_SQL, _universe, pick
 from .tables import table
@@ -214,3 +214,16 @@ def error_filter(spark: SparkSession, d: str) -> DataFrame:
 def shown_events(spark: SparkSession, d: str) -> DataFrame:
     title = runs.humanized(F.concat("event_type", F.lit("_by user_"), "user_id"))
     return table(spark, d, "events").select("event_id", title.alias("title"), runs.shown_time(F.col("ts")).alias("shown"))
+
+
+# ---- the benchmark's own extractor: a record is a customer, whose text says what its columns hold
+
+_RECORD = "'Rafiq, Amal, age ' || (c_custkey % 60 + 10) || ' years. Email: c' || c_custkey || '@Example.org. ID: GOV-' || (10000 + c_custkey) || '. DOB: 19' || (c_custkey % 90 + 10) || '-0l-12. tel: +l-555-' || (3000 + c_custkey % 7000) || '. seen at North Gate, scar near left hand. mother Lina Haddad, ok'"
+
+
+@query(
+    f"""WITH k AS (SELECT c_custkey AS id, c_custkey AS k FROM customer) SELECT id, unnest(['name', 'age', 'email', 'government_id', 'date_of_birth', 'phone', 'distinguishing_marks', 'family_member_names', 'last_known_location']) AS key,
+  unnest(['Amal Rafiq', CAST(k % 60 + 10 AS VARCHAR), 'c' || k || '@example.org.', 'GOV-' || (10000 + k), '19' || (k % 90 + 10) || '-01-12', '+l-555-' || (3000 + k % 7000) || '. ', 'scar near left hand', 'Lina Haddad', 'North Gate']) AS value, 'exact' AS certainty FROM k"""
+)
+def benchmark_fields_read(spark: SparkSession, d: str) -> DataFrame:
+    return benchmark_fields.extracted(table(spark, d, "customer").select("c_custkey", F.expr(_RECORD).alias("said")), "c_custkey", "said")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corrolink.operators import runs
+from corrolink.operators import benchmark_fields, runs
 from corrolink.plans import registry
 
 QUERIES = registry.queries()
@@ -46,3 +46,29 @@ def test_a_missing_checkpoint_diverges(spark):
 def test_ids_and_steps_as_shown(spark):
     row = spark.range(1).select(runs.humanized(F.lit("do_not_link now")).alias("a"), runs.humanized(F.lit("")).alias("b"), runs.refused_nodes(runs.words(("privacy_gate", "extract"))).alias("c"), runs.shown_time(F.lit("2026-04-18 22:02:00").cast("timestamp")).alias("d")).first()
     assert tuple(row) == ("Do Not Link Now", "", ["extract"], "Apr 18, 10:02 PM UTC")
+
+
+@pytest.mark.parametrize(
+    ("raw", "wanted"),
+    [
+        ("Amal Rafiq, DOB 2005", {"name": "Amal Rafiq", "date_of_birth": "2005"}),
+        ("Rafiq, Amal", {"name": "Amal Rafiq"}),
+        ("age 35, North Gate", {"age": "35", "last_known_location": "age 35, North Gate"[8:]}),
+        ("x", {}),
+        ("", {}),
+        ("Nour Said approximately 14", {"age": "14"}),
+        ("Nour Said \u0661\u0664 \u0639\u0627\u0645\u0627", {"age": "14"}),
+        ("Lina Noor, registration # AB\u20131234", {"name": "Lina Noor", "government_id": "AB-1234"}),
+    ],
+)
+def test_what_the_benchmark_reads(raw, wanted):
+    got = {k: v for k, v, _ in benchmark_fields.fields_of(raw) if k != "phone"}
+    assert {k: got.get(k) for k in wanted} == wanted and (wanted or not got)
+
+
+def test_hedged_ages_and_phones(spark):
+    rows = [(1, "Nour Said age 14 - 16, tel: +l-555-3434"), (2, "tel: ((((((((("), (3, None)]
+    got = {(r.id, r.key): (r.value, r.certainty) for r in benchmark_fields.extracted(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()}
+    assert got[1, "age"] == ("14-16", "estimated") and got[1, "phone"][0] == "+l-555-3434" and not any(i > 1 and k == "phone" for i, k in got)
+    raw = spark.createDataFrame([("R1", None, None, None, None)], "record_id string, source_type string, language string, text string, display_name string")
+    assert tuple(benchmark_fields.record(raw).first()) == ("R1", "unknown", "English", "", "", "R1", [])
