@@ -42,9 +42,6 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n{escape(text)}{END}" for role, text in turns)
 
 
-chatml.extend = lambda turns, i: chatml(turns[i : i + 1])  # a turn's part depends on that turn alone
-
-
 class Rendered(NamedTuple):
     text: str
     spans: list[tuple[int, int]]
@@ -56,21 +53,16 @@ def render(template: Template, turns: list[Turn], window: int | None = None) ->
 
     Where a template rewrites history, spans are those of the final output as far as it agrees with
     the prefix outputs, and empty beyond; rewritten_at says which turn did it.
-    A template may say itself what a turn adds (its attribute `extend`: the longer prefix's output from the
-    shorter one's); every prefix is then extended instead of rendered anew, and the last one is held against
-    the rendering of the whole. Of other templates all prefixes are rendered, which takes time by the square
-    of the turns. `window`, off unless given, renders no more than the last so many turns for each prefix:
+    Every prefix is rendered by the template, the built-in one too, which takes time by the square of the turns.
+    `window`, off unless given, renders no more than the last so many turns for each prefix:
     only for templates in which a turn's part does not depend on what stands further back.
     """
-    extend = getattr(template, "extend", None)
     whole = template(turns)
     spans: list[tuple[int, int]] = []
     before, at, rewritten = template([]), 0, None
     at = len(before) if whole.startswith(before) else 0
     for i in range(len(turns)):
-        if extend:
-            added, grown = extend(turns, i), True
-        elif window is None or i < window:
+        if window is None or i < window:
             now = template(turns[: i + 1])
             grown = now.startswith(before)
             added = now[len(before) :] if grown else ""
