@@ -150,8 +150,24 @@ def comparable(source: DataFrame, changed: DataFrame, scope: str = "scope") -> D
     return joined.select(scope, "a", "b", "before", F.coalesce("after", "first_after").alias("after"), F.col("after").isNotNull().alias("same_pair"))
 
 
+def first_pairs(records: DataFrame, scope: str, key: str, said: str) -> DataFrame:
+    """(scope, a, b, text_a, text_b): of each two texts of a scope, equal ones too, the first pair of keys that have them."""
+    n = F.coalesce(F.concat(F.lit("="), F.col(said)), F.lit(""))  # a text that is null is one of its own
+    keyed = records.where(F.col(key).isNotNull()).select(scope, F.col(key).alias("k"), F.col(said).alias("text"), n.alias("n")).distinct()
+    place = F.row_number().over(Window.partitionBy(scope, "n").orderBy("k"))
+    two = keyed.withColumn("place", place).where("place <= 2").groupBy(scope, "n").agg(F.max("text").alias("text"), F.min("k").alias("k1"), F.max(F.when(F.col("place") == 2, F.col("k"))).alias("k2"))
+    side = lambda s: two.select(scope, *[F.col(c).alias(f"{c}_{s}") for c in ("n", "text", "k1", "k2")])
+    met = side("x").join(side("y"), scope).where("n_x <= n_y")
+    later = F.when(F.col("k1_x") == F.col("k1_y"), F.least("k2_x", "k2_y")).otherwise(F.greatest("k1_x", "k1_y"))
+    swap = F.col("k1_y") < F.col("k1_x")
+    out = met.select(scope, F.least("k1_x", "k1_y").alias("a"), later.alias("b"), F.when(swap, F.col("text_y")).otherwise(F.col("text_x")).alias("text_a"), F.when(swap, F.col("text_x")).otherwise(F.col("text_y")).alias("text_b"))
+    return out.where("b is not null")
+
+
 def fuzzy_baseline(pairs: DataFrame, scope: str, threshold: float = 65.0) -> DataFrame:
-    """Per scope the pair whose texts are most alike (of equal ones the first), and whether that is enough."""
-    scored = pairs.withColumn("ratio", names.indel_ratio("text_a", "text_b"))
+    """Per scope the pair whose texts are most alike (of equal ones the first), and whether that is enough. Two texts are compared once, however many pairs have them."""
+    two = pairs.withColumns({"s": F.least("text_a", "text_b"), "t": F.greatest("text_a", "text_b")}).withColumns({c: F.when(F.col("text_a").isNotNull() & F.col("text_b").isNotNull(), F.col(c)) for c in "st"})
+    ratios = two.where("s is not null").select("s", "t").distinct().withColumn("ratio", names.indel_ratio("s", "t"))
+    scored = two.join(ratios, ["s", "t"], "left")
     best = scored.groupBy(scope).agg(F.min_by(F.struct("a", "b", "ratio"), F.struct(-F.col("ratio"), F.col("a"), F.col("b"))).alias("best"))
     return best.select(scope, "best.*").withColumn("classification", F.when(F.col("ratio") >= threshold, "possible_candidate").otherwise("insufficient_evidence"))

@@ -462,5 +462,4 @@ def counterfactual_compare(spark: SparkSession, d: str) -> DataFrame:
 def fuzzy_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Per brand and size the two part names most alike (ratios by the Arrow function)."""
     p = table(spark, d, "part").select(F.concat_ws("|", "p_brand", "p_size").alias("scope"), "p_partkey", "p_name")
-    side = lambda s: p.select("scope", F.col("p_partkey").alias(s), F.col("p_name").alias(f"text_{s}"))
-    return synth.fuzzy_baseline(side("a").join(side("b"), "scope").where("a < b"), "scope")
+    return synth.fuzzy_baseline(synth.first_pairs(p, "scope", "p_partkey", "p_name"), "scope")
