@@ -107,8 +107,11 @@ def rival_downgrade(ranked: DataFrame, gap: float = 0.20) -> DataFrame:
 
 def close_rivals(candidates: DataFrame, gap: float = 0.15) -> DataFrame:
     """(scope, a, b, rivals): records of other candidates that share a record and come within `gap` of the score."""
-    ends = candidates.select("scope", "a", "b", "score", F.explode(F.array("a", "b")).alias("shared"))
-    other = ends.select("scope", "shared", F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("score").alias("oscore"))
-    met = ends.join(other, ["scope", "shared"]).where(((F.col("a") != F.col("oa")) | (F.col("b") != F.col("ob"))) & (F.abs(F.col("score") - F.col("oscore")) <= gap))
-    rival = F.when(F.col("oa") == F.col("shared"), F.col("ob")).otherwise(F.col("oa"))
-    return met.groupBy("scope", "a", "b").agg(F.array_sort(F.collect_set(rival)).alias("rivals"))
+    # candidates of one record stand in one list, and each looks through that list: no row is made for two that meet
+    ends = candidates.where("scope is not null").select("scope", F.explode(F.array("a", "b")).alias("shared"), F.struct("a", "b", "score").alias("c"))
+    lists = ends.where("shared is not null").groupBy("scope", "shared").agg(F.collect_list("c").alias("all"))
+    each = lists.select("scope", "shared", "all", F.explode("all").alias("c"))
+    near = F.filter("all", lambda o: ((o["a"] != F.col("c.a")) | (o["b"] != F.col("c.b"))) & (F.abs(o["score"] - F.col("c.score")) <= gap))
+    rival = F.transform(near, lambda o: F.when(o["a"] == F.col("shared"), o["b"]).otherwise(o["a"]))
+    found = each.select("scope", "c.a", "c.b", rival.alias("rivals")).where(F.size("rivals") > 0)
+    return found.groupBy("scope", "a", "b").agg(F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_list("rivals"))))).alias("rivals"))
